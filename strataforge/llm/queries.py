@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints
+from . import byte_bpe, fingerprints, language_id, token_output
 from .shared import table
 
 
@@ -16,9 +16,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_documents(token_output.write_segments(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {}
