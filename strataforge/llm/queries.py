@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, mixing, token_output, url_filters
+from . import byte_bpe, fingerprints, language_id, mixing, permutation_index, token_output, url_filters
 from .shared import table
 
 
@@ -29,6 +29,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(token_output.write_segments(table(spark, sf_dir, "documents")))
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_token_output": op10_token_output,
 }
 
