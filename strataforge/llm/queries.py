@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, mixing, permutation_index, token_output, url_filters
+from . import byte_bpe, fingerprints, language_id, mixing, near_dup, permutation_index, token_output, url_filters
 from .shared import table
 
 
@@ -34,6 +34,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.with_sizes(near_dup.classes(table(spark, sf_dir, "documents")))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(token_output.write_segments(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
 }
 
