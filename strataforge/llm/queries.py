@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, mixing, near_dup, permutation_index, token_output, url_filters
+from . import byte_bpe, fingerprints, language_id, mixing, near_dup, passages, permutation_index, token_output, url_filters
 from .shared import table
 
 
+def op1_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.passages(table(spark, sf_dir, "documents")).drop("text_hash")
+    return found.withColumn("n_words", found["end"] - found["start"])
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_shared_passages": op1_shared_passages,
     "op2_mixing": op2_mixing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_url_filters": op5_url_filters,
