@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, mixing, near_dup, passages, permutation_index, token_output, url_filters
+from . import byte_bpe, fingerprints, language_id, mixing, near_dup, passages, permutation_index, suffix_dedup, token_output, url_filters
 from .shared import table
 
 
@@ -25,6 +25,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filters.RULES, "action string, host string, path string")
     return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_shared_passages": op1_shared_passages,
     "op2_mixing": op2_mixing,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
