@@ -196,6 +196,20 @@ def predict(docs: DataFrame, network: Network | None, columns: tuple[str, ...] =
     return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a probability of ``least`` or more; a narrow map."""
+    if network is None:
+        return docs.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(network)
+        for batch in words.slices(batches):
+            lang, score = predictor.documents(batch.column("text"))
+            yield batch.filter(pa.array([name != UNDETERMINED for name in lang]) if least <= 0 else pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from training: crc32 of the id's decimal text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

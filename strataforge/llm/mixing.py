@@ -145,7 +145,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Texts are not shuffled unless the plan outgrows a broadcast."""
-    sized = docs.withColumn("size", words_in(F.col("text")))
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", words_in(F.col("text")).alias("size"))
     made = written(plan(written(sized.select("doc_id", "source", "size"), "sizes")), "plan")
     copies = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return decide(sized, made).withColumn("copy", F.explode(copies)).select(*docs.columns)
+    return decide(sized, made).withColumn("copy", F.explode(copies)).select("row.*")
