@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import retrieval  # noqa: F401  registers its queries
+from .plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "R2_bm25_topk"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
