@@ -187,8 +187,8 @@ def first_touch(spark, sf):
 @query(
     "W7_newly_matched",
     """WITH said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM conversations WHERE role = 'user'
-), both AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS p FROM said
-) SELECT conv_id, turn, len(list_filter(list_distinct(w), lambda x: NOT list_contains(p, x)))::BIGINT AS new_words FROM both""",
+), pairs AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS p FROM said
+) SELECT conv_id, turn, len(list_filter(list_distinct(w), lambda x: NOT list_contains(p, x)))::BIGINT AS new_words FROM pairs""",
 )
 def newly_matched(spark, sf):
     """Words of a user's turn that the turn before did not have."""
