@@ -8,8 +8,8 @@ missing pivot counted as place LIST; the best KEPT of a block (ties included)
 are ranked again by inner product in double precision on the original vectors.
 
 Largest inner product is turned into smallest angle by one more coordinate,
-sqrt(M**2 - |x|**2) with M the largest norm (Bachrach and others 2014), so pivots
-see lengths as well. Rows are dealt to blocks of about BLOCK_ROWS by a hash of
+sqrt(M**2 - |x|**2) with M the largest norm and 0 for queries (Bachrach and
+others 2014), so pivots see lengths as well. Rows are dealt to blocks of about BLOCK_ROWS by a hash of
 the id, each block has its own inverted files, and a set of queries goes through
 each block; every row is indexed. Pivots come from PIVOT_SAMPLE rows, chosen by a hash.
 
@@ -104,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     n_asked = asked.count()
     longest = float(facts["square"] or 0) ** 0.5
     sample = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-    raw = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
+    raw = np.array([r["v"] for r in sample], np.float64) if sample else np.zeros((0, 1))
     pivots = choose_pivots(lifted(raw, longest)) if len(raw) else raw
     blocks, sets = max(1, -(-facts["n"] // BLOCK_ROWS)), max(1, -(-n_asked // QUERY_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -120,7 +120,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         query, found, score = [], [], []
         if asks.any() and not asks.all():
             block = Block(ids[~asks], x[~asks], pivots, longest)
-            for i, q, listed in zip(ids[asks], x[asks], places(lifted(x[asks], longest), pivots)):
+            for i, q, listed in zip(ids[asks], x[asks], places(np.pad(x[asks], ((0, 0), (0, 1))), pivots)):
                 own, s = block.nearest(i, q, listed, k)
                 query.append(np.full(len(own), i))
                 found.append(own)
