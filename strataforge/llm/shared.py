@@ -32,5 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_A_BATCH = 1000  # whole texts go to Python workers, so batches of Spark's usual 10,000 rows would be large
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session small; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
