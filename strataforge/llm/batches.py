@@ -51,3 +51,19 @@ def maybe(bits: np.ndarray, places: pa.Array) -> pa.Array:
     """Whether keys may be in the filter, by their places."""
     h = places.to_numpy(zero_copy_only=False).astype(np.uint64)
     return pa.array(((bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool))
+
+
+def hash_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """:func:`key_filter` of keys that are hashes already: their low bits are the place."""
+    low = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = keys.select(F.shiftright(low, 6).cast("int").alias("word"), low.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in rows.collect():
+        out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether hashes may be in a :func:`hash_filter`."""
+    low = hashes.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .batches import hash_filter, in_filter
 from .shared import written
 from .words import U
 
 LENGTH = 200
 GRAM = 64
-FILTER_BITS = 1 << 24
 SYMBOLS = 1 << 14  # contexts of several owners share a suffix array up to about so many symbols
 _POSITION = U((1 << 31) - 1)
 _STEP = U(0x9E3779B97F4A7C15)
@@ -220,8 +220,7 @@ def _contexts(texts: DataFrame, bits) -> DataFrame:
         for batch in words.slices(batches):
             raw, offsets = words.utf8(batch.column("text"))
             key, doc, place, first, last = owned(raw, offsets)
-            low = key & U(FILTER_BITS - 1)
-            may = ((bits.value[low >> U(6)] >> (low & U(63))) & U(1)).astype(bool)
+            may = in_filter(bits.value, key)
             key, doc, place, first, last = key[may], doc[may], place[may], first[may], last[may]
             blob = raw.tobytes()
             context = [bytes([p - a]) + blob[a:p] + blob[p + GRAM : b + LENGTH] for p, a, b in zip(place.tolist(), first.tolist(), last.tolist())]
@@ -236,16 +235,6 @@ def _contexts(texts: DataFrame, bits) -> DataFrame:
     return texts.mapInArrow(run, "key long, context binary, context_id long, uid long, first int, occurrence long")
 
 
-def _filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over the low bits of keys that are hashes already."""
-    low = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = keys.select(F.shiftright(low, 6).cast("int").alias("word"), low.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in rows.collect():
-        out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    return out
-
-
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by owner -> key, context_id, runs (first, end of windows that occur twice, in pairs)."""
     window = LENGTH - GRAM + 1
@@ -304,7 +293,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """uid, whole, firsts, runs: for each text with repeated windows, their places; ``whole`` marks equal texts."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= LENGTH).withColumn("uid", _text_id()).select("uid", "text")
     keys = written(_owners(texts).groupBy("key").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi")).filter("lo < hi").select("key"), "owners")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(keys, "key"))
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(keys, "key"))
     found = written(_contexts(texts, bits).join(keys, "key"), "contexts")
     distinct = found.groupBy("key", "context_id").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi"), F.first("context").alias("context")).select("key", "context_id", "context", (F.col("lo") < F.col("hi")).alias("many"))
     runs = written(distinct.repartition("key").sortWithinPartitions("key", "context_id").mapInArrow(_judged, "key long, context_id long, runs array<int>"), "runs")
@@ -333,13 +322,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     Texts that a filter of fixed size excludes are finished where they are read; only others are shuffled to their spans.
     """
     spans = repeats(docs)
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(spans, "uid"))
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(spans, "uid"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", _text_id())
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            low = batch.column("uid").to_numpy().astype(np.uint64) & U(FILTER_BITS - 1)
-            may = ((bits.value[low >> U(6)] >> (low & U(63))) & U(1)).astype(bool)
+            may = in_filter(bits.value, batch.column("uid").to_numpy())
             text = batch.column("text").cast(pa.binary()).to_pylist()
             digest = [None if m else hashlib.sha256(t).hexdigest() for t, m in zip(text, may)]
             yield pa.RecordBatch.from_arrays(
