@@ -67,3 +67,17 @@ def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether hashes may be in a :func:`hash_filter`."""
     low = hashes.view(np.uint64) & np.uint64(FILTER_BITS - 1)
     return ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def divided(rows: DataFrame, place: str, bits) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``place`` is set in a broadcast filter, the others): narrow maps, so only the first need be shuffled."""
+
+    def pick(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = maybe(bits.value, batch.column(place)).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == wanted))
+
+        return run
+
+    return rows.mapInArrow(pick(True), rows.schema), rows.mapInArrow(pick(False), rows.schema)

@@ -21,17 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The folder is the cluster's to clean, as it is for checkpoints.
+    ``into`` takes the path, for :func:`forget`; else the folder is the cluster's to clean, as it is for checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataforge-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables whose results have been written in turn."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 ROWS_A_BATCH = 1000  # whole texts go to Python workers, so batches of Spark's usual 10,000 rows would be large
 
 
