@@ -123,7 +123,7 @@ def vector_similarity(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     asked = vectors.filter("vec_id < 3").collect()
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    each = F.explode(F.array(*[F.struct(F.lit(r["vec_id"]).alias("query_id"), F.array(*[F.lit(x) for x in r["v"]]).alias("q")) for r in asked])).alias("a")
+    each = F.explode(F.array(*[F.struct(F.lit(r["vec_id"]).cast("long").alias("query_id"), F.array(*[F.lit(x) for x in r["v"]]).alias("q")) for r in asked])).alias("a")
     rows = vectors.select("vec_id", "v", each).select("a.query_id", "vec_id", (dot(F.col("v"), F.col("a.q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("a.q"), F.col("a.q")))).alias("cosine"))
     return rows.filter("cosine > 0.3").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
 

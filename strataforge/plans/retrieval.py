@@ -191,7 +191,7 @@ def title_overlap(spark, sf):
     words = F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), 0))
     asked = F.array(*[F.lit(w) for w in ("red", "steel", "large", "part")])
     overlap = 2 * F.size(F.array_intersect(words, asked)) + F.when(F.col("p_brand").endswith("1"), 1).otherwise(0)
-    return table(spark, sf, "part").select("p_partkey", overlap.alias("overlap")).filter("overlap > 0").orderBy(F.desc("overlap"), "p_partkey").limit(50)
+    return table(spark, sf, "part").select("p_partkey", overlap.cast("long").alias("overlap")).filter("overlap > 0").orderBy(F.desc("overlap"), "p_partkey").limit(50)
 
 
 @query(
