@@ -12,8 +12,9 @@ Candidates: PLACES places in bands of BAND; equal texts are one node. In each
 bucket every member is compared with the member that shares most buckets with
 others. A member that no comparison has put into the bucket's largest component is
 then compared with all members of other components, block by block on packed
-signatures, and its likeliest partners are verified; this is repeated until no
-comparison finds a link. So a bucket of copies costs one comparison a member.
+signatures, and its likeliest partners are verified, twice as many in each round, until
+no likely pair between two components is left out. So a bucket of copies costs one
+comparison a member.
 Verification computes the exact multiset similarity; links at LEAST or more
 form components, which are the classes.
 
@@ -43,7 +44,8 @@ PLACES, BAND = 128, 4
 LEAST = 0.8
 SLACK = 0.12  # estimates from 128 places are off by 0.035 at 0.8; pairs below LEAST - SLACK aren't verified
 CHUNK = 2048  # rows of a bucket compared at once
-PARTNERS = 6
+PAIRS = 1 << 16  # found pairs a batch
+PARTNERS = 6  # of a member in a block of its bucket in the first round
 
 _GAMMA, _BLOCK = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 
@@ -199,8 +201,11 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _residue(members: DataFrame, sizes: DataFrame, component: DataFrame, sketch: DataFrame, tested: DataFrame, into: list[str] | None = None) -> DataFrame:
-    """Likely pairs not tested yet between a bucket's members outside its largest component and members of other components."""
+def _residue(members: DataFrame, sizes: DataFrame, component: DataFrame, sketch: DataFrame, partners: int, into: list[str] | None = None) -> DataFrame:
+    """Likely pairs (a, b) between a bucket's members outside its largest component and members of other components.
+
+    Of each member the ``partners`` likeliest in a block; a row of nulls tells that some member has more.
+    """
     named = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     per = named.groupBy("bucket", "c").count()
     main = written(per.groupBy("bucket").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("size")).filter("parts > 1 and size > 2").select("bucket", F.col("m.c").alias("main"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open-buckets", into)
@@ -218,19 +223,24 @@ def _residue(members: DataFrame, sizes: DataFrame, component: DataFrame, sketch:
             s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(g.num_rows, -1)
             c = np.array(g.column("c").to_pylist(), object)
             left, right = np.flatnonzero(asks_), np.flatnonzero(~asks_)
-            pairs = []
-            for i in left:
+            node, more, held, x, y = g.column("node"), False, 0, [], []
+            for n, i in enumerate(left, 1):
                 alike = estimate(s[right], s[i][None])
                 alike[c[right] == c[i]] = -1
-                best = np.argsort(-alike, kind="stable")[:PARTNERS]
-                pairs += [(i, right[b]) for b in best if alike[b] >= LEAST - SLACK]
-            if pairs:
-                at = np.array(pairs)
-                node = g.column("node")
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(at[:, 0])), node.take(pa.array(at[:, 1]))], ["x", "y"])
+                likely = np.flatnonzero(alike >= LEAST - SLACK)
+                best = likely[np.argsort(-alike[likely], kind="stable")[:partners]]
+                more |= len(likely) > partners
+                x.append(np.full(len(best), i))
+                y.append(right[best])
+                held += len(best)
+                if held > PAIRS or n == len(left):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(p))) for p in (x, y)], ["x", "y"])
+                    held, x, y = 0, [], []
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary())] * 2, ["x", "y"])
 
     found = asks.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x binary, y binary")
-    return found.select(*_ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
+    return found.select(*_ordered("x", "y")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -250,14 +260,18 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = written(members.join(centers, "bucket").filter("node != center").select(*_ordered("node", "center")).distinct(), "star-pairs", temp)
     links = written(verify(_likely(pairs, sketch), docs, temp), "links", temp)
     component = connected_components(links, "a", "b", temp)
-    tested = pairs
-    while True:
-        rest = written(_residue(members.select("bucket", "node"), sizes, component, sketch, tested, temp), "residue", temp)
-        more = written(verify(rest, docs, temp), "links", temp)
-        if more.isEmpty():
-            break
-        links, tested = links.unionByName(more), tested.unionByName(rest)
-        component = connected_components(links, "a", "b", temp)
+    tested, partners, left_out = pairs, PARTNERS, True
+    while left_out:
+        found = written(_residue(members.select("bucket", "node"), sizes, component, sketch, partners, temp), "residue", temp)
+        left_out = not found.filter("a is null").isEmpty()
+        rest = written(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "untested", temp)
+        if not rest.isEmpty():
+            more = written(verify(rest, docs, temp), "links", temp)
+            tested = tested.unionByName(rest)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                component = connected_components(links, "a", "b", temp)
+        partners *= 2
     component = written(component, "components", temp)
     ids = component.join(nodes, component["node"] == nodes["node"]).groupBy("component").agg(F.min("first_id").alias("class_id"))
     named = component.join(ids, "component").select("node", "class_id")
