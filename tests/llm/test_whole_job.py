@@ -2,7 +2,7 @@
 
 from test_operators import _classes, _text
 
-from strataforge.llm import near_dup
+from strataforge.llm import near_dup, passages
 
 
 def test_near_duplicates_behind_likelier_looking_ones(spark):
@@ -16,3 +16,13 @@ def test_near_duplicates_behind_likelier_looking_ones(spark):
     assert _classes(rows[:2] + rows[80:82]) == [0, 0, 80, 81]
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k - k % 2 if k < 80 else k for k in range(320)}
+
+
+def test_passage_far_from_the_linking_one(spark):
+    """Two documents share a linking passage and, 600 words on, one whose keys older documents hold in fragments."""
+    near, far = _text(31, 60), _text(32, 80).split()
+    rows = [(k, " ".join(far[4 * k : 4 * k + 20])) for k in range(16)] + [(20 + n, " ".join(far[:n])) for n in range(5, 17)]
+    rows += [(k, f"{near} " + " ".join(f"own{k}x{i}" for i in range(600)) + " " + " ".join(far)) for k in (100, 101)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = sorted((r["start"], r["end"]) for r in found if (r["doc_id"], r["source_id"]) == (101, 100))
+    assert spans == [(0, 60), (660, 740)]
