@@ -14,22 +14,27 @@ FILTER_BITS = 1 << 24
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Runs of equal keys in a partition sorted by them, each as one batch."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []  # the run that has begun, in parts
+    last: tuple | None = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if held is not None:
-            rows = pa.concat_tables([held, rows])
-        rows = rows.combine_chunks()
-        change = np.zeros(max(0, rows.num_rows - 1), bool)
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
         for k in keys:
-            v = rows[k].to_numpy()
+            v = batch.column(k).to_numpy(zero_copy_only=False)
             change |= v[1:] != v[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        if held and tuple(batch.column(k)[0].as_py() for k in keys) != last:
+            yield pa.concat_batches(held)
+            held = []
         for a, b in zip(cuts, cuts[1:]):
-            yield from rows.slice(a, b - a).combine_chunks().to_batches()
-        held = rows.slice(cuts[-1]) if rows.num_rows else None
-    if held is not None and held.num_rows:
-        yield from held.combine_chunks().to_batches()
+            if a:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def filter_place(column: str) -> Column:

@@ -12,9 +12,8 @@ Candidates: PLACES places in bands of BAND; equal texts are one node. In each
 bucket every member is compared with the member that shares most buckets with
 others. A member that no comparison has put into the bucket's largest component is
 then compared with all members of other components, block by block on packed
-signatures, and its likeliest partners are verified, twice as many in each round, until
-no likely pair between two components is left out. So a bucket of copies costs one
-comparison a member.
+signatures, and every likely pair that its block's links have not joined yet is verified there.
+So a bucket of copies costs one comparison a member, no likely pair is left out, and pairs never become rows.
 Verification computes the exact multiset similarity; links at LEAST or more
 form components, which are the classes.
 
@@ -30,9 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import words
 from .batches import divided, filter_place, groups, key_filter, maybe
@@ -43,9 +41,7 @@ from .words import U
 PLACES, BAND = 128, 4
 LEAST = 0.8
 SLACK = 0.12  # estimates from 128 places are off by 0.035 at 0.8; pairs below LEAST - SLACK aren't verified
-CHUNK = 2048  # rows of a bucket compared at once
-PAIRS = 1 << 16  # found pairs a batch
-PARTNERS = 6  # of a member in a block of its bucket in the first round
+CHUNK = 1024  # rows of a bucket compared at once
 
 _GAMMA, _BLOCK = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 
@@ -125,8 +121,13 @@ def node_of(text: str | None) -> bytes:
     return hashlib.md5((text or "").encode(), usedforsecurity=False).digest()
 
 
+def _node() -> Column:
+    """:func:`node_of` as a column."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (MD5 of the text), sketch, bands; bands are empty for texts without words. A narrow map."""
+    """doc_id, node (MD5 of the text), sketch (with 32 bits of each band), bands; bands are empty for texts without words. A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
@@ -137,7 +138,7 @@ def signed(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(has * found.shape[1])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[has].ravel()))
             nodes = pa.array([node_of(t) for t in column.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, pa.array(sketches(times), pa.binary()), listed], ["doc_id", "node", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, pa.array([a + b.tobytes() for a, b in zip(sketches(times), found.astype(np.uint32))], pa.binary()), listed], ["doc_id", "node", "sketch", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, sketch binary, bands array<long>")
 
@@ -148,22 +149,20 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, : PLACES // 2] for c in ("sa", "sb"))
                 yield batch.select(["a", "b"]).filter(pa.array(estimate(left, right) >= LEAST - SLACK))
 
-    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = pairs.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, into: list[str] | None = None) -> DataFrame:
-    """The pairs (a, b) of nodes with an exact multiset similarity of LEAST or more.
+def _elements(needed: DataFrame, docs: DataFrame, into: list[str] | None) -> DataFrame:
+    """node, elements (a hash of each copy of each shingle, 8 bytes each) of the texts in ``needed`` (node).
 
-    Only texts in a pair are shuffled: a Bloom filter of fixed size drops others where they are read.
+    Only such texts are shuffled: a Bloom filter of fixed size drops others where they are read.
     """
-    pairs = written(pairs, "pairs", into)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(needed, "node"))
-    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text").withColumn("h", filter_place("node"))
+    texts = docs.select(_node().alias("node"), "text").withColumn("h", filter_place("node"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,7 +175,17 @@ def verify(pairs: DataFrame, docs: DataFrame, into: list[str] | None = None) ->
 
     elements = texts.select("node", "text", "h").mapInArrow(sets, "node binary, elements binary")
     owned = needed.join(elements, "node").groupBy("node").agg(F.first("elements").alias("elements"))
-    owned = written(owned, "elements", into)
+    return written(owned, "elements", into)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """The pairs (a, b) of nodes with an exact multiset similarity of LEAST or more.
+
+    ``a`` is the end that may be in very many pairs. Its elements meet pairs that carry those of ``b``
+    last, so a hub's pairs are large by then, which lets adaptive execution split them between tasks.
+    """
+    pairs = written(pairs, "pairs", into)
+    owned = _elements(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("node")).distinct(), docs, into)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,111 +202,141 @@ def verify(pairs: DataFrame, docs: DataFrame, into: list[str] | None = None) ->
                 alike = shared / np.maximum(sizes[0] + sizes[1] - shared, 1) >= LEAST
                 yield part.select(["a", "b"]).filter(pa.array(alike))
 
-    both = pairs.join(owned.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(owned.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
+    both = pairs.join(owned.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b").join(owned.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
     return both.select("a", "b", "ea", "eb").mapInArrow(compare, "a binary, b binary")
 
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _cells(members: DataFrame, component: DataFrame, sketch: DataFrame, into: list[str]) -> DataFrame:
+    """bucket, band, i, j, role, node, c, sketch: what to compare in each bucket of several components.
 
-
-def _residue(members: DataFrame, sizes: DataFrame, component: DataFrame, sketch: DataFrame, partners: int, into: list[str] | None = None) -> DataFrame:
-    """Likely pairs (a, b) between a bucket's members outside its largest component and members of other components.
-
-    Of each member the ``partners`` likeliest in a block; a row of nulls tells that some member has more.
+    Members outside a bucket's largest component ask, all are asked. Both are dealt to blocks of CHUNK,
+    and a member goes to each block of the other side: n members of which m ask make about m + n
+    rows as long as m is below CHUNK, and n if n is. ``role`` is 1 for asking, 0 for asked, 2 for both.
     """
-    named = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    named = members.join(component, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("c"))
     per = named.groupBy("bucket", "c").count()
-    main = written(per.groupBy("bucket").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("size")).filter("parts > 1 and size > 2").select("bucket", F.col("m.c").alias("main"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "open-buckets", into)
-    rows = written(named.join(main, "bucket").join(sketch, "node").withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), F.col("chunks")).cast("int")), "open-members", into)
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    asks = rows.filter("c != main").select("bucket", F.col("chunk").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "node", "c", "sketch")
-    asked = rows.select("bucket", every.alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("asks"), "node", "c", "sketch")
+    main = per.groupBy("bucket").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("size")).filter("parts > 1 and size > 2")
+    blocks = lambda n: F.ceil(n / CHUNK).cast("int")
+    main = written(main.select("bucket", F.col("m.c").alias("main"), blocks(F.col("size")).alias("all_blocks"), blocks(F.col("size") - F.col("m.count")).alias("ask_blocks")), "open-buckets", into)
+    rows = written(named.join(main, "bucket").join(sketch, "node").withColumns({"h": F.xxhash64("node", "bucket"), "asks": F.col("c") != F.col("main")}), "open-members", into)
+    own = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ["node", "c", "sketch"]
+    small = rows.filter("all_blocks = 1").select("bucket", "band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("asks"), 2).otherwise(0).alias("role"), *rest)
+    asks = rows.filter("all_blocks > 1 and asks").select("bucket", "band", own("ask_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(1).alias("role"), *rest)
+    asked = rows.filter("all_blocks > 1").select("bucket", "band", every("ask_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(0).alias("role"), *rest)
+    return small.unionByName(asks).unionByName(asked)
+
+
+def _likely_pairs(cell: pa.RecordBatch, joined: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(asking row, likely partners, likeliest first) of a cell; ``joined`` numbers components and may change meanwhile.
+
+    A pair is taken only in the first band that both rows share, so no pair is compared in two buckets.
+    """
+    role, band = cell.column("role").to_numpy(), cell.column("band")[0].as_py()
+    both = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(cell.num_rows, -1)
+    sketch, digests = both[:, : PLACES // 2], both[:, PLACES // 2 :].view(np.uint32)[:, :band]
+    right = np.flatnonzero(role != 1)
+    own = sketch[right]
+    for i in np.flatnonzero(role > 0):
+        alike = estimate(own, sketch[i][None])
+        at = np.flatnonzero((alike >= LEAST - SLACK) & (joined[right] != joined[i]) & ((role[right] != 2) | (right > i)))
+        if len(at):
+            found = right[at[np.argsort(-alike[at], kind="stable")]]
+            found = found[~(digests[found] == digests[i]).any(axis=1)]
+            if len(found):
+                yield i, found
+
+
+def _numbered(names: pa.Array) -> np.ndarray:
+    return np.unique(np.array(names.to_pylist(), object), return_inverse=True)[1]
+
+
+def _links_left(members: DataFrame, component: DataFrame, sketch: DataFrame, docs: DataFrame, into: list[str]) -> DataFrame:
+    """Links (a, b) between components, from every likely pair of a bucket's members; enough of them to join what belongs together.
+
+    Pairs are never rows of a table: a first pass keeps the members that have a likely partner, a second
+    compares the elements of such members inside their cells.
+    """
     keys = ["bucket", "i", "j"]
+    fields = "bucket long, band int, i int, j int, role int, node binary, c binary, sketch binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, keys):
-            asks_ = g.column("asks").to_numpy(zero_copy_only=False)
-            if not asks_.any() or asks_.all():
-                continue
-            s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(g.num_rows, -1)
-            c = np.array(g.column("c").to_pylist(), object)
-            left, right = np.flatnonzero(asks_), np.flatnonzero(~asks_)
-            node, more, held, x, y = g.column("node"), False, 0, [], []
-            for n, i in enumerate(left, 1):
-                alike = estimate(s[right], s[i][None])
-                alike[c[right] == c[i]] = -1
-                likely = np.flatnonzero(alike >= LEAST - SLACK)
-                best = likely[np.argsort(-alike[likely], kind="stable")[:partners]]
-                more |= len(likely) > partners
-                x.append(np.full(len(best), i))
-                y.append(right[best])
-                held += len(best)
-                if held > PAIRS or n == len(left):
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(p))) for p in (x, y)], ["x", "y"])
-                    held, x, y = 0, [], []
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary())] * 2, ["x", "y"])
-
-    found = asks.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x binary, y binary")
-    return found.select(*_ordered("x", "y")).distinct()
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, keys):
+            wanted = np.zeros(cell.num_rows, bool)
+            for i, found in _likely_pairs(cell, _numbered(cell.column("c"))):
+                wanted[i] = wanted[found] = True
+            yield cell.filter(pa.array(wanted))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, keys):
+            joined, x, y = _numbered(cell.column("c")), [], []
+            elements = [np.frombuffer(e, np.uint64) for e in cell.column("elements").to_pylist()]
+            for i, found in _likely_pairs(cell, joined):
+                own, step = np.sort(elements[i]), 8
+                while len(found):
+                    some, found = found[:step], found[step:]
+                    sizes = np.array([len(elements[k]) for k in some])
+                    theirs = np.concatenate([elements[k] for k in some])
+                    hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                    shared = np.bincount(np.repeat(np.arange(len(some)), sizes)[hit], minlength=len(some))
+                    for k in some[shared / (sizes + len(own) - shared) >= LEAST]:
+                        if joined[k] != joined[i]:
+                            x.append(i)
+                            y.append(k)
+                            joined[joined == joined[k]] = joined[i]
+                    found, step = found[joined[found] != joined[i]], 4 * step
+            if x:
+                node = cell.column("node")
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(z, pa.int64())) for z in (x, y)], ["a", "b"])
+
+    by_cell = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    marked = written(by_cell(_cells(members, component, sketch, into)).mapInArrow(mark, fields), "likely-members", into)
+    elements = _elements(marked.select("node").distinct(), docs, into)
+    return by_cell(marked.join(elements, "node")).mapInArrow(compare, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id of each row: the smallest doc_id of its near-duplicates, its own if it has none."""
-    rows = written(signed(docs), "signatures")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    one = rows.join(nodes.filter("first_id is not null"), "node").filter("doc_id = first_id")
+    """doc_id, node, class_id, class_size of each row: the smallest doc_id of its near-duplicates, its own if it has none."""
     temp: list[str] = []
-    placed = one.select("node", F.explode("bands").alias("bucket")).distinct()  # rows may repeat
-    placed = written(placed, "buckets", temp)
-    sizes = written(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes", temp)
-    members = written(placed.join(sizes, "bucket").select("bucket", "node", "size"), "members", temp)
+    rows = written(signed(docs), "signatures", temp)
+    # One row a text, by partial aggregation, so a text that very many rows have is merged before its shuffle.
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("doc_id").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes", temp)
+    placed = nodes.filter("first_id is not null").select("node", F.posexplode("bands").alias("band", "bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(placed.join(sizes, "bucket").select("bucket", "band", "node", "size"), "members", temp)
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    weighed = members.join(degree, "node")
-    centers = written(weighed.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("center")), "centers", temp)
-    sketch = written(one.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]), "sketches", temp)
-    pairs = written(members.join(centers, "bucket").filter("node != center").select(*_ordered("node", "center")).distinct(), "star-pairs", temp)
+    centers = written(members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("center")), "centers", temp)
+    sketch = written(nodes.select("node", "sketch").join(degree, "node", "left_semi"), "sketches", temp)
+    pairs = written(members.join(centers, "bucket").filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs", temp)
     links = written(verify(_likely(pairs, sketch), docs, temp), "links", temp)
     component = connected_components(links, "a", "b", temp)
-    tested, partners, left_out = pairs, PARTNERS, True
-    while left_out:
-        found = written(_residue(members.select("bucket", "node"), sizes, component, sketch, partners, temp), "residue", temp)
-        left_out = not found.filter("a is null").isEmpty()
-        rest = written(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "untested", temp)
-        if not rest.isEmpty():
-            more = written(verify(rest, docs, temp), "links", temp)
-            tested = tested.unionByName(rest)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                component = connected_components(links, "a", "b", temp)
-        partners *= 2
+    more = written(_links_left(members, component, sketch, docs, temp), "links", temp)
+    if not more.isEmpty():
+        component = connected_components(links.unionByName(more), "a", "b", temp)
     component = written(component, "components", temp)
-    ids = component.join(nodes, component["node"] == nodes["node"]).groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = component.join(ids, "component").select("node", "class_id")
-    by_node = written(nodes.join(named, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("class_id")), "classes")
+    ids = component.join(nodes.select("node", "first_id", "n"), "node").groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+    named = component.join(ids, "component").select("node", "class_id", "class_size")
+    by_node = nodes.select("node", "first_id", "n").join(named, "node", "left")
+    by_node = written(by_node.select("node", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_size", "n").alias("class_size")), "classes")
     forget(docs.sparkSession, temp)
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
-
-
-def with_sizes(found: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size."""
-    sizes = written(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
-    return found.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node")).join(by_node, "node")
+    given = F.col("doc_id").isNotNull()
+    return own.select("doc_id", "node", F.when(given, F.col("class_id")).alias("class_id"), F.when(given, F.col("class_size")).otherwise(1).alias("class_size"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id stays; rows with null doc_id stay."""
-    found = written(classes(docs), "row-classes")
-    drop = found.filter("doc_id != class_id").select("doc_id", "node").distinct()
-    drop = written(drop.select(F.col("doc_id").alias("__id"), F.col("node").alias("__drop")), "dropped")
-    bits = docs.sparkSession.sparkContext.broadcast(key_filter(drop, "__drop"))
-    marked = docs.withColumn("__node", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("__place", filter_place("__node"))
-    some, others = divided(marked, "__place", bits)  # texts that no class drops are not shuffled
-    kept = some.join(drop, (F.col("doc_id") == F.col("__id")) & (F.col("__node") == F.col("__drop")), "left_anti").unionByName(others)
-    again = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1")
-    if not again.isEmpty():  # repeated rows of the document that stays
-        twice = written(again.select(F.col("doc_id").alias("__id")), "repeated")
-        same = kept.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(twice, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(same)
-    return kept.select(*docs.columns)
+    temp: list[str] = []
+    found = written(classes(docs).select(F.col("doc_id").alias("id"), "node", "class_id"), "row-classes", temp)
+    drop = written(found.filter("id != class_id").select("id", "node").distinct(), "dropped")
+    twice = written(found.filter("id = class_id").groupBy("id", "node").count().filter("count > 1").select("id", "node"), "repeated")
+    forget(docs.sparkSession, temp)
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(drop, "node"))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _node().alias("node")).withColumn("place", filter_place("node"))
+    some, others = divided(marked, "place", bits)  # texts that no class drops are not shuffled
+    kept = some.join(drop, ["id", "node"], "left_anti").unionByName(others)
+    if not twice.isEmpty():  # repeated rows of the document that stays
+        same = kept.join(twice, ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+        kept = kept.join(twice, ["id", "node"], "left_anti").unionByName(same)
+    return kept.select("row.*")

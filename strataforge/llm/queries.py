@@ -44,7 +44,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.with_sizes(near_dup.classes(table(spark, sf_dir, "documents")))
+    return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -42,12 +44,13 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-ROWS_A_BATCH = 1000  # whole texts go to Python workers, so batches of Spark's usual 10,000 rows would be large
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 8 << 20  # whole texts go to Python workers, so Spark's usual 10,000 rows and 64 MB would be large
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of this session small; results don't depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_A_BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
