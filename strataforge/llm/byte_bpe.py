@@ -4,7 +4,9 @@ Long texts are split by a regular expression at safe boundaries: between a
 character that is not white space and ASCII white space after it. No
 alternative of the pre-splitting pattern matches across such a place, and what
 matches on one side does not depend on the other, so the pieces' ids, one after
-another, are the whole text's ids.
+another, are the whole text's ids. A piece without such a place, like a long run of white space, is
+more than the library's own matcher can take: the pattern's matches are then
+found by the ``regex`` module, and the library encodes each by itself.
 
 Edge cases: a null or empty text has no ids (an empty array, the SHA-256 of
 nothing). Repeated ids and other columns pass through untouched; nothing is
@@ -43,6 +45,11 @@ def decimals(ranks_path: str, pattern: str) -> list[bytes]:
     return [str(i).encode() for i in range(encoding(ranks_path, pattern).max_token_value + 1)]
 
 
+@lru_cache(4)
+def matcher(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
 def pieces(text: str) -> list[str]:
     return [text] if len(text) <= PIECE_CHARS else _PIECE.findall(text)
 
@@ -51,9 +58,14 @@ def encode(text: str | None, coder: tiktoken.Encoding) -> list[int]:
     """Ids of the whole text, special tokens not recognised."""
     if not text:
         return []
-    if len(text) <= PIECE_CHARS:
-        return coder.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in coder.encode_ordinary(piece)]
+    out: list[int] = []
+    for piece in pieces(text):
+        if len(piece) <= PIECE_CHARS:
+            out += coder.encode_ordinary(piece)
+        else:
+            for match in matcher(coder._pat_str).finditer(piece):
+                out += coder._encode_single_piece(match.group())
+    return out
 
 
 def decode(ids: list[int], coder: tiktoken.Encoding) -> bytes:
