@@ -6,14 +6,15 @@ several widths slide over the window, each keeps its maximum (rectified), and a
 softmax turns the maxima into probabilities. A text's probabilities are the mean
 over its windows, weighted by their bytes.
 
-Training takes a bounded sample: about ROWS_A_LANG rows of each of the MOST_LANGS
-most frequent labels, chosen by a hash of doc_id, WINDOWS_A_ROW windows each.
+Training takes a bounded sample, WINDOWS_A_ROW windows a row: ROWS_A_LANG rows of each label at most, those with
+the smallest hashes of id and text, and fewer where there are so many labels that all
+rows would be more than MOST_ROWS (one row of each label at least).
 Since an embedded byte times a filter column is a number that depends on the
 byte alone, inference sums entries of two tables indexed by byte pairs.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows
 with null lang, null text or the held-out remainder teach nothing; without any
-labelled row every text is ``und``. Nothing is shuffled but label counts.
+labelled row every text is ``und`` and :func:`recognised` rejects none. Only label counts and the sample are shuffled.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words
+from .shared import written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
-ROWS_A_LANG, WINDOWS_A_ROW, MOST_LANGS = 600, 4, 256
+ROWS_A_LANG, WINDOWS_A_ROW, MOST_ROWS = 600, 4, 200_000
 STEPS, BATCH, RATE = 500, 64, 0.01
 UNDETERMINED = "und"
 
@@ -159,15 +162,20 @@ class Predictor:
 def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Network | None:
     """Fit a network on a bounded sample of rows (doc_id, text, lang); None if there are none."""
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
+    counts = written(rows.groupBy("lang").count(), "labels")
+    n_langs = counts.count()
+    if not n_langs:
         return None
+    most = min(rows_a_lang, max(1, MOST_ROWS // n_langs))
+    # Hashes below the share of twice as many rows as wanted, so little is sorted; then exactly the smallest ones.
     scale = 1 << 30
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(scale, int(scale * rows_a_lang / r["count"])))])
+    share = counts.select("lang", F.least(F.lit(scale), F.ceil((2 * most + 64) * scale / F.col("count"))).cast("long").alias("share"))
     data, n = F.encode("text", "UTF-8"), F.octet_length("text")
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_A_ROW - 1)), lambda j: F.substring(data, F.lit(1) + F.floor(j * F.greatest(n - WINDOW, F.lit(0)) / (WINDOWS_A_ROW - 1)).cast("int"), F.lit(WINDOW)))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.element_at(share, F.col("lang"))).select("doc_id", "lang", cut.alias("windows")).collect()
-    sample.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["windows"]))
+    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(share, "lang").filter(F.pmod("h", F.lit(scale)) < F.col("share"))
+    drawn = drawn.select("lang", F.pmod("h", F.lit(scale)).alias("place"), "h", cut.alias("windows"))
+    sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).filter(F.col("n") <= most).select("lang", "h", "windows").collect()
+    sample.sort(key=lambda r: (r["lang"], r["h"]))
     langs = sorted({r["lang"] for r in sample})
     parts = [(bytes(w), langs.index(r["lang"])) for r in sample for w in dict.fromkeys(bytes(w) for w in r["windows"]) if w]
     if not parts:
@@ -199,7 +207,7 @@ def predict(docs: DataFrame, network: Network | None, columns: tuple[str, ...] =
 def recognised(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a probability of ``least`` or more; a narrow map."""
     if network is None:
-        return docs.limit(0)
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(network)
