@@ -7,6 +7,12 @@ equal owners, so windows only meet windows of an owner with equal bytes. What
 an owner's windows span, without the owner itself, is its context; it takes part
 only if the owner's hash occurs twice in the corpus.
 
+An owner whose distinct contexts have more than MOST_SYMBOLS symbols is split. A window is known by how many of
+its bytes come before the owner, too; the windows of a range of such places all hold the bytes
+next to the owner that the range has in common, so equal windows agree in them, and
+range and bytes are an owner of their own. Ranges are halved until no owner has too many contexts,
+at the latest when a range is one place and the bytes are the window.
+
 In a task, the distinct contexts of one owner become one text, with a symbol of
 the owner's own for its bytes, and neighbours in the suffix array of that text tell which
 windows occur twice. The array is built as in Baier's linear-time grouping construction (2016):
@@ -18,6 +24,8 @@ prefixes; nothing is renamed or recursed into.
 
 Equal texts are one text that occurs twice: all of it goes if it has LENGTH bytes.
 
+Texts are known by their MD5 (128 bits), grams by 64-bit hashes and contexts, within an owner, by 64 bits of BLAKE2b.
+
 Edge cases: null counts as empty; texts shorter than LENGTH lose nothing. Null and
 repeated doc_ids are rows like others: rows are told apart by their text. Removal
 may cut a character; digests are of bytes. An empty table gives no rows.
@@ -27,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .batches import hash_filter, in_filter
-from .shared import written
+from .batches import filter_place, hash_filter, in_filter, key_filter, maybe
+from .shared import forget, written
 from .words import U
 
 LENGTH = 200
 GRAM = 64
 SYMBOLS = 1 << 14  # contexts of several owners share a suffix array up to about so many symbols
+MOST_SYMBOLS = 1 << 20  # of one owner; beyond, it is split
 _POSITION = U((1 << 31) - 1)
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -196,8 +206,55 @@ def owned(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashed[place], np.searchsorted(offsets, place, side="right") - 1, place, x[first], x[last]
 
 
+def _uids(column: pa.Array) -> np.ndarray:
+    """MD5 values as rows of two 64-bit halves."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
 def _occurrence(uid: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return words.mix(uid.view(np.uint64) + start.astype(np.uint64) * _STEP).view(np.int64)
+    return words.mix(words.mix(uid[:, 0] + start.astype(np.uint64) * _STEP) ^ uid[:, 1]).view(np.int64)
+
+
+def _context_id(context: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(context, digest_size=8).digest(), "little", signed=True)
+
+
+_CONTEXTS = "key long, context binary, context_id long, uid binary, first int, occurrence long"
+_CONTEXT_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+
+
+def parts_of(context: bytes, size: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """(what its windows have in common, context, first window) for each range of ``size`` places of a context.
+
+    A window's place is the number of its bytes before the owner, 0 to LENGTH - GRAM.
+    """
+    free = LENGTH - GRAM
+    n = context[0]
+    left, right = context[1 : 1 + n], context[1 + n :]
+    least, most = free - len(right), n  # places of its windows
+    for p in range(max(least, 0) // size, most // size + 1):
+        low, high = p * size, min(free, p * size + size - 1)
+        a, b = max(low, least), min(high, most)
+        common = bytes([p, size]) + left[n - low :] + b"|" + right[: free - high]
+        yield common, bytes([b]) + left[n - b :] + right[: free - a], n - b
+
+
+def _split(size: int):
+    """Rows of _CONTEXTS -> the same windows, each range of ``size`` places with an owner of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, context, uid, first in zip(*(batch.column(c).to_pylist() for c in ("key", "context", "uid", "first"))):
+                for common, part, at in parts_of(context, size):
+                    own = int.from_bytes(hashlib.blake2b(key.to_bytes(8, "little", signed=True) + common, digest_size=8).digest(), "little", signed=True)
+                    out.append((own, part, _context_id(part), uid, first + at))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), _CONTEXT_KINDS)]
+                spot = _occurrence(_uids(columns[3]), columns[4].to_numpy())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spot)], [f.split()[0] for f in _CONTEXTS.split(", ")])
+
+    return run
 
 
 def _owners(texts: DataFrame) -> DataFrame:
@@ -207,7 +264,7 @@ def _owners(texts: DataFrame) -> DataFrame:
         for batch in words.slices(batches):
             raw, offsets = words.utf8(batch.column("text"))
             key, doc, _, first, _ = owned(raw, offsets)
-            uid = batch.column("uid").to_numpy()[doc]
+            uid = _uids(batch.column("uid"))[doc]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_occurrence(uid, first - offsets[doc]))], ["key", "occurrence"])
 
     return texts.mapInArrow(run, "key long, occurrence long")
@@ -224,15 +281,15 @@ def _contexts(texts: DataFrame, bits) -> DataFrame:
             key, doc, place, first, last = key[may], doc[may], place[may], first[may], last[may]
             blob = raw.tobytes()
             context = [bytes([p - a]) + blob[a:p] + blob[p + GRAM : b + LENGTH] for p, a, b in zip(place.tolist(), first.tolist(), last.tolist())]
-            uid = batch.column("uid").to_numpy()[doc]
+            uid = _uids(batch.column("uid"))[doc]
             start = first - offsets[doc]
-            ids = [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True) for c in context]
+            ids = [_context_id(c) for c in context]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(context, pa.binary()), pa.array(ids, pa.int64()), pa.array(uid), pa.array(start.astype(np.int32)), pa.array(_occurrence(uid, start))],
-                ["key", "context", "context_id", "uid", "first", "occurrence"],
+                [pa.array(key.view(np.int64)), pa.array(context, pa.binary()), pa.array(ids, pa.int64()), batch.column("uid").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(_occurrence(uid, start))],
+                [f.split()[0] for f in _CONTEXTS.split(", ")],
             )
 
-    return texts.mapInArrow(run, "key long, context binary, context_id long, uid long, first int, occurrence long")
+    return texts.mapInArrow(run, _CONTEXTS)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,22 +342,36 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _text_id():
-    """60 bits of the text's MD5, which tell texts apart."""
-    return F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+    """The text's MD5, which tells texts apart."""
+    return F.unhex(F.md5("text"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """uid, whole, firsts, runs: for each text with repeated windows, their places; ``whole`` marks equal texts."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= LENGTH).withColumn("uid", _text_id()).select("uid", "text")
-    keys = written(_owners(texts).groupBy("key").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi")).filter("lo < hi").select("key"), "owners")
+    temp: list[str] = []
+    keys = written(_owners(texts).groupBy("key").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi")).filter("lo < hi").select("key"), "owners", temp)
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(keys, "key"))
-    found = written(_contexts(texts, bits).join(keys, "key"), "contexts")
-    distinct = found.groupBy("key", "context_id").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi"), F.first("context").alias("context")).select("key", "context_id", "context", (F.col("lo") < F.col("hi")).alias("many"))
-    runs = written(distinct.repartition("key").sortWithinPartitions("key", "context_id").mapInArrow(_judged, "key long, context_id long, runs array<int>"), "runs")
-    hits = found.select("key", "context_id", "uid", "first").join(runs, ["key", "context_id"]).groupBy("uid").agg(F.collect_set(F.struct("first", "runs")).alias("hits"))
+    found = written(_contexts(texts, bits).join(keys, "key"), "contexts", temp)
+    size, hits = LENGTH - GRAM + 1, []
+    while True:
+        distinct = found.groupBy("key", "context_id").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi"), F.first("context").alias("context")).select("key", "context_id", "context", (F.col("lo") < F.col("hi")).alias("many"))
+        distinct = written(distinct, "distinct-contexts", temp)
+        large = written(distinct.groupBy("key").agg(F.sum(F.octet_length("context")).alias("n")).filter(F.col("n") > MOST_SYMBOLS).select("key"), "large-owners", temp)
+        none = size == 1 or large.isEmpty()
+        small = distinct if none else distinct.join(large, "key", "left_anti")
+        runs = written(small.repartition("key").sortWithinPartitions("key", "context_id").mapInArrow(_judged, "key long, context_id long, runs array<int>"), "runs", temp)
+        hits.append(found.select("key", "context_id", "uid", "first").join(runs, ["key", "context_id"]).select("uid", "first", "runs"))
+        if none:
+            break
+        size = -(-size // 2)
+        found = written(found.join(large, "key").mapInArrow(_split(size), _CONTEXTS), "contexts", temp)
+    hits = reduce(DataFrame.unionByName, hits).groupBy("uid").agg(F.collect_set(F.struct("first", "runs")).alias("hits"))
     copies = texts.groupBy("uid").count().filter(F.col("count") > 1).select("uid", F.lit(True).alias("whole"))
     both = hits.join(copies, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("hits.first").alias("firsts"), F.col("hits.runs").alias("runs"))
-    return written(both, "repeats")
+    out = written(both, "repeats")
+    forget(docs.sparkSession, temp)
+    return out
 
 
 def removed(n: int, whole: bool, firsts: list[int] | None, runs: list[list[int]] | None) -> np.ndarray:
@@ -322,12 +393,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     Texts that a filter of fixed size excludes are finished where they are read; only others are shuffled to their spans.
     """
     spans = repeats(docs)
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(spans, "uid"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", _text_id())
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "uid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", _text_id()).withColumn("place", filter_place("uid"))
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            may = in_filter(bits.value, batch.column("uid").to_numpy())
+            may = maybe(bits.value, batch.column("place")).to_numpy(zero_copy_only=False)
             text = batch.column("text").cast(pa.binary()).to_pylist()
             digest = [None if m else hashlib.sha256(t).hexdigest() for t, m in zip(text, may)]
             yield pa.RecordBatch.from_arrays(
@@ -348,7 +419,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], [f.split()[0] for f in _RESULT.split(", ")])
 
-    seen = rows.select("doc_id", "uid", "text").mapInArrow(first_look, "doc_id long, uid long, n_bytes long, kept_sha256 string, data binary")
+    seen = rows.select("doc_id", "uid", "text", "place").mapInArrow(first_look, "doc_id long, uid binary, n_bytes long, kept_sha256 string, data binary")
     clean = seen.filter("data is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
     rest = seen.filter("data is not null").select("doc_id", "uid", "data").join(spans, "uid", "left").select("doc_id", "data", "whole", "firsts", "runs").mapInArrow(cut, _RESULT)
     return clean.unionByName(rest)
