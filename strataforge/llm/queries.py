@@ -48,7 +48,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.read_documents(token_output.write_segments(table(spark, sf_dir, "documents")))
+    return token_output.read_documents(spark, token_output.write_files(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {

@@ -23,13 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/strataforge-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``into`` takes the path, for :func:`forget`; else the folder is the cluster's to clean, as it is for checkpoints.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strataforge-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     if into is not None:
         into.append(path)
