@@ -93,10 +93,14 @@ def test_chains_and_alignment():
 
 def test_dac_random_access():
     ids = np.array([0, 255, 256, 70000, 2**31, 5] * 300, np.uint32)
-    blob = token_output.dac_encode(ids)
-    codes = token_output.Dac(blob)
-    assert (codes.all() == ids).all() and all(codes[i] == ids[i] for i in range(0, len(ids), 7))
-    assert len(token_output.Dac(token_output.dac_encode(np.zeros(0, np.uint32))).all()) == 0
+    codes = token_output.Dac(token_output.dac_encode(ids))
+    assert (codes.read(0, len(ids)) == ids).all() and all(codes[i] == ids[i] for i in range(len(ids)))
+    r = random.Random(3)
+    for _ in range(300):
+        a = r.randrange(len(ids) + 1)
+        b = r.randrange(a, len(ids) + 1)
+        assert (codes.read(a, b) == ids[a:b]).all()
+    assert len(token_output.Dac(token_output.dac_encode(np.zeros(0, np.uint32)))) == 0
     with pytest.raises(ValueError):
         token_output.Dac(b"????")
 
@@ -107,17 +111,30 @@ def test_pieces_encode_like_whole_texts():
         ids, counts = coder.encode(pa.array(ODD, pa.string()))
         whole = coder.tokenizer.encode_batch([t or "" for t in ODD], add_special_tokens=False)
         assert counts.tolist() == [len(e.ids) for e in whole] and ids.tolist() == [i for e in whole for i in e.ids]
+    assert coder.encode(pa.array(["hello <|endoftext|> world"]))[1].tolist() == [4]
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "span_hashes", lambda raw, starts, ends: raw[starts].astype(np.uint64))  # the first byte alone
+    coder = token_output.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["ab, cd", "ax, cd", "b", "ab, cd ef cd"]
+    for _ in range(2):
+        ids, counts = coder.encode(pa.array(texts))
+        whole = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert counts.tolist() == [len(e.ids) for e in whole] and ids.tolist() == [i for e in whole for i in e.ids]
 
 
 def test_long_texts_split_safely():
     coder = byte_bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(2)
     text = "".join(r.choice(["word", "l'été", " ", "  ", "\n", "…", "　", " ", "12", "?!"]) for _ in range(60000))
-    for t in (text, "x" * 70000, " " * 70000, "\xa0 " * 40000):
+    for t in (text, "x" * 70000, " " * 70000, "\xa0 " * 40000, "a" + "\n" * 70000 + "b"):
         parts = byte_bpe.pieces(t)
         assert "".join(parts) == t
-        if len(set(t)) > 2:
-            assert byte_bpe.encode(t, coder) == coder.encode_ordinary(t)
+        assert byte_bpe.encode(t, coder) == coder.encode_ordinary(t)
+    for t in (" " * 3_000_000, "\n" * 3_000_000 + "a", "a" * 3_000_000, "x" + "\u3000" * 1_000_000):  # more than the library's matcher can take
+        by_match = [i for m in re.finditer(r"\s+(?!\S)|\s+|\S+", t) for i in coder._encode_single_piece(m.group())]
+        assert byte_bpe.encode(t, coder) == by_match
     assert byte_bpe.decode(byte_bpe.encode(text, coder), coder) == text.encode() and byte_bpe.encode(None, coder) == []
 
 
@@ -153,6 +170,39 @@ def test_tables_agree_with_filters():
 
 def test_footrule_order():
     r = np.random.default_rng(4)
-    pivots, x = r.normal(size=(32, 8)), r.normal(size=(50, 8))
-    listed = permutation_index.places(x, pivots)
-    assert ((listed > 0).sum(axis=1) == min(permutation_index.LIST, 32)).all()
+    pivots, x = r.normal(size=(96, 8)), r.normal(size=(50, 8))
+    lists = permutation_index.nearest_pivots(x, pivots)
+    size = permutation_index.LIST
+    assert lists.shape == (50, size)
+
+    def rule(a, b):
+        place = [{p: k for k, p in enumerate(z)} for z in (a.tolist(), b.tolist())]
+        return sum(abs(place[0].get(p, size) - place[1].get(p, size)) for p in range(96))
+
+    near = permutation_index.footrule(lists, lists[0], 96)
+    whole = rule(lists[0], np.array([], int))
+    assert all(rule(lists[0], lists[k]) == 2 * (whole - near[k]) for k in range(50))
+    assert permutation_index.nearest_pivots(x, pivots[:5]).shape == (50, 5)
+
+
+def test_windows_of_a_split_context():
+    r = random.Random(6)
+    context = bytes([100]) + bytes(r.choices(range(256), k=100 + 120))
+    free = suffix_dedup.LENGTH - suffix_dedup.GRAM
+
+    def windows(c):
+        n = c[0]
+        return [(c[1 + w : 1 + n], c[1 + n : 1 + n + free - (n - w)]) for w in range(len(c) - free)]
+
+    for size in (69, 35, 1):
+        found = {}
+        for common, part, at in suffix_dedup.parts_of(context, size):
+            for k, w in enumerate(windows(part)):
+                found[at + k] = w
+        assert [found[k] for k in sorted(found)] == windows(context) and sorted(found) == list(range(len(context) - free))
+
+
+def test_ends_reach_over_small_edits():
+    a = np.arange(100)
+    b = np.concatenate([a[:20], [900], a[21:40], a[41:60], [901], a[60:]])
+    assert passages.reach(a, b) == (100, 100) and passages.reach(a, a[50:]) == (0, 0)

@@ -26,3 +26,133 @@ def test_passage_far_from_the_linking_one(spark):
     found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     spans = sorted((r["start"], r["end"]) for r in found if (r["doc_id"], r["source_id"]) == (101, 100))
     assert spans == [(0, 60), (660, 740)]
+
+
+def test_passage_whose_first_holders_have_pieces_of_it(spark):
+    """Each half of a passage is in an older document; only the two newest share it whole."""
+    passage = _text(41, 80).split()
+    rows = [(1, " ".join(passage[:40])), (2, " ".join(passage[40:])), (3, _text(42, 50) + " " + " ".join(passage)), (4, " ".join(passage) + " " + _text(43, 50))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in found] == [(4, 3, 0, 80)]
+
+
+def test_seeds_of_a_frequent_key_over_many_partitions(spark):
+    """Copies of one text over range partitions: each is linked, whatever partition its seeds are in."""
+    rows = [(k, _text(44, 60)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = passages.passages(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r["doc_id"] for r in found} == set(range(1, 300)) and all(r["start"] == 0 and r["end"] == 60 for r in found)
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 60 to 100 words with words replaced, lost and added: nine of ten at 5 %, half at 10 %."""
+    import random
+
+    for share, least in ((0.05, 0.9), (0.1, 0.5)):
+        r, rows = random.Random(7), []
+        for k in range(200):
+            passage = _text(1000 + k, r.randint(60, 100)).split()
+            edited = []
+            for w in passage:
+                kind = r.random() / share
+                edited += [w] if kind >= 1 else [] if kind < 0.25 else [w, f"add{r.random()}"] if kind < 0.5 else [f"new{r.random()}"]
+            rows.append((2 * k, _text(2000 + k, 80) + " " + " ".join(passage) + " " + _text(3000 + k, 80)))
+            rows.append((2 * k + 1, _text(4000 + k, 80) + " " + " ".join(edited) + " " + _text(5000 + k, 80)))
+        found = {(x["doc_id"], x["source_id"]) for x in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found <= {(2 * k + 1, 2 * k) for k in range(200)}
+        print("edited passages found", share, len(found) / 200)
+        assert len(found) >= least * 200
+
+
+def test_owners_with_too_many_contexts_are_split(spark, monkeypatch):
+    """A line that every document goes on from in its own way, with owners split down to single windows."""
+    import hashlib
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from strataforge.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "MOST_SYMBOLS", 600)
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line = letters(260)
+    texts = [letters(150) + line[: r.choice([150, 199, 200, 220, 260])] + letters(150) for _ in range(40)]
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    wanted = set()
+    for d, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        wanted.add((d, int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest()))
+    got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["n_removed"], x["kept_sha256"]) for x in got} == wanted and any(x["n_removed"] for x in got)
+
+
+def test_training_sample_is_bounded(spark):
+    """Null ids, repeated ids and repeated rows do not get around the bound."""
+    from strataforge.llm import language_id
+
+    rows = [(None, f"text number {k} is here", "en") for k in range(3000)] + [(5, "the same row", "fr")] * 3000 + [(k, f"rare {k}", f"l{k}") for k in range(300)]
+    taken = []
+    fit = language_id.Network.fit
+    language_id.Network.fit = lambda self, x, y: taken.append((len(x), len(self.langs))) or self
+    try:
+        language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_a_lang=50)
+    finally:
+        language_id.Network.fit = fit
+    assert taken == [(50 + 50 + 300, 302)]
+
+
+def test_recall_of_the_permutation_index(spark):
+    """All queries of a table of 2,000 unstructured vectors against brute force."""
+    import numpy as np
+
+    from strataforge.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op8_nearest_neighbours(spark, folder).collect()}
+    wanted = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        wanted |= {(ids[q], i) for i in ids[np.lexsort((ids, -s))[:20]]}
+    assert len(got & wanted) >= 0.95 * len(wanted)
+
+
+def test_near_duplicate_families(spark):
+    """Families of texts that are all alike, most pairs just below the limit and some just above it."""
+    import random
+
+    import numpy as np
+
+    r, rows = random.Random(3), []
+    for f in range(2):
+        base = _text(70 + f, 900).split()
+        own = lambda tag, n=17: {p: f"{tag}x{p}" for p in r.sample(range(3, 897, 6), n)}
+        shared = [own(f"s{f}y{k}", 9) for k in range(12)]
+        for k in range(120):
+            edits = own(f"f{f}y{k}") if k >= 24 else shared[k // 2] | own(f"f{f}y{k}", 8)
+            rows.append((len(rows), " ".join(edits.get(i, w) for i, w in enumerate(base))))
+    bags = []
+    for _, t in rows:
+        w = t.split()
+        bags.append({hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)})
+    parent = np.arange(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(bags[i] & bags[j])
+            if both >= 0.8 * (len(bags[i]) + len(bags[j]) - both):
+                parent[parent == max(parent[i], parent[j])] = min(parent[i], parent[j])
+    assert len(set(parent.tolist())) > 2
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(parent.tolist()))
