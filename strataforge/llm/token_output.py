@@ -43,7 +43,7 @@ from .shared import new_path, written
 END_ID = 2
 BLOCK = 512
 MAGIC = b"DAC1"
-KNOWN_PIECES = 2_000_000  # a worker forgets its pieces beyond that; only time depends on it
+KNOWN_PIECES = 400_000  # a worker forgets its pieces beyond that; only time depends on it
 
 _SPACE = words._SPACE
 _LETTER = np.zeros(256, bool)
@@ -144,8 +144,10 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... start[0] + length[0] - 1, start[1], ..."""
-    upto = np.cumsum(length)
-    return np.repeat(start - (upto - length), length) + np.arange(int(upto[-1]) if len(upto) else 0)
+    upto = np.cumsum(length, dtype=np.int64)
+    out = np.repeat(start - (upto - length), length)
+    out += np.arange(len(out))
+    return out
 
 
 class PieceEncoder:
@@ -158,7 +160,7 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.size, self.start, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.at, self.size, self.start, self.length = (np.zeros(0, np.int32) for _ in range(4))
         self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> None:
@@ -189,7 +191,7 @@ class PieceEncoder:
         begin = len(self.bytes) + np.cumsum(length) - length
         self.bytes = np.concatenate([self.bytes, raw[_stretches(starts[order], length)]])
         old = (self.keys, self.at, self.size, self.start, self.length)
-        joined = [np.concatenate(pair) for pair in zip(old, (keys[order], at, size, begin, length))]
+        joined = [np.concatenate([o, n.astype(o.dtype)]) for o, n in zip(old, (keys[order], at, size, begin, length))]
         by = np.argsort(joined[0], kind="stable")
         self.keys, self.at, self.size, self.start, self.length = (z[by] for z in joined)
 
@@ -264,7 +266,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 # ---------------------------------------------------------------- files
 
-SEGMENTS_A_FILE = 16  # of about words.SLICE_BYTES of text each, so a file is small enough to be read as one value
+SEGMENTS_A_FILE = 4  # of about words.SLICE_BYTES of text each, so a file is small enough to be read as one value
 _HEAD = struct.Struct("<4sIIQQ")  # name, part, seq, documents, bytes of the codes
 _NULL_ID = -(1 << 63)
 
