@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import calculators, etl, more, retrieval, rules, streams, usage  # noqa: F401  they register their queries
+from .plans import calculators, etl, extra, more, retrieval, rules, streams, usage  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "R2_bm25_topk"

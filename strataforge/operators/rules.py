@@ -14,76 +14,120 @@ LEVELS = ("routine", "mental_health", "urgent", "emergency")
 
 @dataclass(frozen=True)
 class Rule:
+    """``requires`` names flags that must all hold; else a pattern must match where no guard reaches it.
+
+    A match is excused by ``mild_if`` unless ``serious_if`` matches or the flag ``young`` holds, and by ``contradicted_if`` in any case.
+    """
+
     name: str
     level: str
     patterns: list[str]
     requires: list[str] = field(default_factory=list)
     mild_if: list[str] = field(default_factory=list)
     serious_if: list[str] = field(default_factory=list)
+    contradicted_if: list[str] = field(default_factory=list)
+
+
+def joined(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
     """Whether one of the literal patterns matches; each is compiled once for the plan."""
-    return text.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    return text.rlike(joined(patterns)) if patterns else F.lit(False)
+
+
+# Fixed values of the guards. A word starts and ends at a character that is no letter, in any script.
+BEFORE, AFTER = r"(^|[^\p{L}])", r"([^\p{L}]|$)"
+CONTRASTS = "but|however|though|aber|jedoch|mais|pero"
+NEGATIONS = "no|not|without|never|nicht|kein|keine|ohne|sans|pas|jamais|sin|nunca"
+LINKS = "and|or|nor|und|oder|et|ou|ni|y|o"
+LOOK_BACK = 26
+#: A sentence with one of these speaks of something that has not happened to the one who writes, or not now.
+HYPOTHETICAL = {
+    "prevention": ["how to (?:avoid|prevent)", "(?:avoid|prevent|vaccine against)", "vorbeug", "pr[ée]venir", "prevenir"],
+    "information": ["what (?:is|are|does)", "tell me about", "difference between", "was ist", "qu.est-ce", "qu[ée] es"],
+    "condition": ["if (?:he|she|it|they|i|you)", "in case", "falls", "au cas o", "en caso"],
+    "past": ["years? ago", "last year", "when (?:i|he|she) was", "vor [0-9]+ jahren", "il y a [0-9]+ ans", "hace [0-9]+ a"],
+    "cause": ["why (?:do|does|did|is)", "warum", "pourquoi", "por qu"],
+    "to the assistant": ["(?:can|could) you (?:explain|tell)", "do you know", "kannst du", "peux-tu", "puedes"],
+}
+_CONTRAST = f"{BEFORE}(?:{CONTRASTS}){AFTER}"
+_NEGATED = rf"{BEFORE}(?:{NEGATIONS})[^\p{{L}}.!?;,](?:[^.!?;,]|, *(?:{LINKS})[^\p{{L}}]){{0,{LOOK_BACK - 1}}}"
+_SENTENCE_END = "[.!?\n]"
+_HYPOTHETICAL = f"{BEFORE}(?:{joined([p for ps in HYPOTHETICAL.values() for p in ps])})"
+
+
+def without_negated(lowered: Column) -> Column:
+    """The text without what a negation reaches: LOOK_BACK characters after it, up to a sentence's end, a contrast, or a comma that no enumeration follows."""
+    return F.regexp_replace(F.regexp_replace(lowered, _CONTRAST, "$1;$2"), _NEGATED, "$1;")
+
+
+def without_hypothetical(lowered: Column) -> Column:
+    """The text without its hypothetical sentences."""
+    return F.array_join(F.filter(F.split(lowered, _SENTENCE_END), lambda s: ~s.rlike(_HYPOTHETICAL)), ". ")
+
+
+def without_negated_sql(lowered: str) -> str:
+    return f"regexp_replace(regexp_replace({lowered}, '{_CONTRAST}', '\\1;\\2', 'g'), '{_NEGATED}', '\\1;', 'g')"
+
+
+def without_hypothetical_sql(lowered: str) -> str:
+    return f"array_to_string(list_filter(string_split_regex({lowered}, '{_SENTENCE_END}'), lambda s: NOT regexp_matches(s, '{_HYPOTHETICAL}')), '. ')"
+
+
+def guarded(lowered: Column, rules: list[Rule]) -> Column:
+    """What is left of a text where a rule may match; texts that no rule matches at all are not looked at again."""
+    return F.when(any_of(lowered, [p for r in rules for p in r.patterns]), without_negated(without_hypothetical(lowered))).otherwise("")
 
 
-def matched(text: Column, flags: dict[str, Column], rules: list[Rule]) -> Column:
+def guarded_sql(lowered: str, rules: list[Rule]) -> str:
+    return f"CASE WHEN regexp_matches({lowered}, '{joined([p for r in rules for p in r.patterns])}') THEN {without_negated_sql(without_hypothetical_sql(lowered))} ELSE '' END"
+
+
+def matched(text: Column, left: Column, flags: dict[str, Column], rules: list[Rule]) -> Column:
     """Names of the rules that hold, most severe first, then in table order.
 
-    One boolean column for each rule and no join: ``requires`` names flags that must all
-    hold, otherwise a pattern must match and not be mild without being serious.
+    ``text`` is lower case, ``left`` what :func:`guarded` leaves of it. One boolean column for each rule and no join.
     """
-    ordered = sorted(rules, key=lambda r: -LEVELS.index(r.level))
     hits = []
-    for r in ordered:
+    for r in _ordered(rules):
         if r.requires:
             holds = flags[r.requires[0]]
             for name in r.requires[1:]:
                 holds = holds & flags[name]
         else:
-            holds = any_of(text, r.patterns)
+            holds = any_of(left, r.patterns)
             if r.mild_if:
-                holds = holds & ~(any_of(text, r.mild_if) & ~any_of(text, r.serious_if))
+                holds = holds & ~(any_of(text, r.mild_if) & ~any_of(text, r.serious_if) & ~flags["young"])
+            if r.contradicted_if:
+                holds = holds & ~any_of(text, r.contradicted_if)
         hits.append(F.when(holds, F.lit(r.name)))
     return F.array_compact(F.array(*hits))
 
 
-def level_of(names: Column, rules: list[Rule]) -> Column:
-    """The highest level among matched rules; the array is ordered, so its first decides."""
-    levels = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.level)])
-    return F.when(F.size(names) == 0, LEVELS[0]).otherwise(levels[F.element_at(names, 1)])
-
-
-# Fixed values of the negation guard.
-NEGATIONS = r"\b(?:no|not|without|never|nicht|kein|keine|sans|pas|sin|nunca)\b"
-ENDS = r"[.!?;]|\b(?:but|however|aber|mais|pero)\b"
-LINKS = r"^\s*(?:and|or|nor|und|oder|et|ou|ni|y|o)\b"
-LOOK_BACK = 26
-
-
-def is_negated(text: str, start: int) -> bool:
-    """Whether a negation in the LOOK_BACK characters before ``start`` reaches it.
-
-    Sentence ends and contrasts cut the window; so does a comma, unless an enumeration goes on after it.
-    """
-    window = text[max(0, start - LOOK_BACK) : start]
-    for m in re.finditer(ENDS, window):
-        window = " " * m.end() + window[m.end() :]
-    comma = window.rfind(",")
-    if comma >= 0 and not re.match(LINKS, window[comma + 1 :]):
-        window = " " * (comma + 1) + window[comma + 1 :]
-    return re.search(NEGATIONS, window) is not None
+def matched_sql(text: str, left: str, flags: dict[str, str], rules: list[Rule]) -> str:
+    """:func:`matched` as a DuckDB list."""
+    test = lambda of, patterns: f"regexp_matches({of}, '{joined(patterns)}')" if patterns else "false"
+    hits = []
+    for r in _ordered(rules):
+        holds = " AND ".join(flags[f] for f in r.requires) if r.requires else test(left, r.patterns)
+        if r.mild_if and not r.requires:
+            holds += f" AND NOT ({test(text, r.mild_if)} AND NOT {test(text, r.serious_if)} AND NOT {flags['young']})"
+        if r.contradicted_if and not r.requires:
+            holds += f" AND NOT {test(text, r.contradicted_if)}"
+        hits.append(f"CASE WHEN {holds} THEN '{r.name}' END")
+    return "list_filter([" + ", ".join(hits) + "], lambda x: x IS NOT NULL)"
 
 
-def unnegated(pattern: str):
-    """An Arrow-batched function: how many matches of a pattern no negation reaches."""
-    compiled = re.compile(pattern)
+def _ordered(rules: list[Rule]) -> list[Rule]:
+    return sorted(rules, key=lambda r: -LEVELS.index(r.level))
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([sum(not is_negated(t, m.start()) for m in compiled.finditer(t)) for t in texts.fillna("").str.lower()], dtype="int64")
 
-    return count
+def level_of(names: Column, rules: list[Rule]) -> Column:
+    """The highest level among matched rules; the array is ordered, so its first decides."""
+    levels = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.level)])
+    return F.when(F.size(names) == 0, LEVELS[0]).otherwise(levels[F.element_at(names, 1)])
 
 
 def with_converted_units(texts: Column) -> Column:

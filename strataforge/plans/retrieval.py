@@ -25,7 +25,7 @@ WITH d AS (
   SELECT item_id, term, min(pos) AS pos FROM (
     SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT item_id, {_TOK % (_FOLD % 'text')} AS t FROM benchmark))
   WHERE length(term) >= 3 AND NOT list_contains({_STOP}, term) GROUP BY ALL
-), asked AS (SELECT item_id, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS k FROM words) WHERE k <= 8
+), asked AS (SELECT item_id, term FROM words
 ), each AS (
   SELECT doc_id, unnest(body) AS term, 1.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, unnest(head), 2.0 FROM d UNION ALL SELECT doc_id, unnest(title), 3.0 FROM d
 ), posts AS (SELECT doc_id, term, sum(w) AS tf FROM each WHERE term IN (SELECT term FROM asked) GROUP BY ALL
@@ -41,15 +41,19 @@ WITH d AS (
 """
 
 
-def hits(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    """item_id, doc_id, score, matched, rank, lang, source: the k best documents of each benchmark passage."""
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, doc_id, score, matched of every document with a term of a benchmark passage."""
     docs = table(spark, sf, "documents")
     fields = docs.select("doc_id", tokens(fold(F.col("text"))).alias("body"), tokens(fold(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("head"), tokens(fold(F.col("source"))).alias("title"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.slice(search_terms(F.col("text")), 1, 8)).alias("term"))
-    posts = R.postings(fields, "doc_id", {"body": 1, "head": 2, "title": 3}, asked)
-    lengths = fields.select("doc_id", F.size("body").alias("len"))
-    ranked = R.best(R.bm25(posts, lengths, asked, "doc_id", "item_id"), "item_id", "doc_id", k)
-    return ranked.join(docs.select("doc_id", "lang", "source"), "doc_id")
+    asked = table(spark, sf, "benchmark").select("item_id", F.explode(search_terms(F.col("text"))).alias("term"))
+    posts = R.postings(fields, "doc_id", {"body": 1, "head": 2, "title": 3}, "body")
+    return R.bm25(posts, asked, "doc_id", "item_id")
+
+
+def hits(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
+    """item_id, doc_id, score, matched, rank, lang, source: the k best documents of each benchmark passage."""
+    ranked = R.best(scored(spark, sf), "item_id", "doc_id", k)
+    return ranked.join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
 
 
 @query("R2_bm25_topk", _BASE + "SELECT item_id, doc_id, rank, score, matched FROM hits WHERE rank <= 10 AND matched >= 3")
@@ -88,9 +92,11 @@ def thin_languages(spark, sf):
     return per.withColumn("total", total).filter(F.col("n") < 0.13 * F.col("total")).select("lang", "n", F.round(F.col("n") / F.col("total"), 6).alias("part"))
 
 
-@query("R7_gate", _BASE + "SELECT item_id, doc_id, rank FROM hits WHERE rank <= 30 AND matched >= CASE WHEN lang = 'en' THEN 2 ELSE 4 END")
+@query("R7_gate", _BASE + "SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN documents USING (doc_id) WHERE matched >= CASE WHEN lang = 'en' THEN 2 ELSE 4 END) WHERE rank <= 30")
 def gated(spark, sf):
-    return R.gate(hits(spark, sf), F.col("lang") == "en", 2, 4).select("item_id", "doc_id", "rank")
+    """A source or silence: documents with too few of the terms go before the best are taken."""
+    rows = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return R.best(R.gate(rows, F.col("lang") == "en", 2, 4), "item_id", "doc_id", 30).select("item_id", "doc_id", "rank")
 
 
 @query(
@@ -156,17 +162,18 @@ def inject_and_warn(spark, sf):
 @query(
     "R18_own_schedule",
     _BASE
-    + """, kept AS (SELECT * FROM hits WHERE source NOT IN ('src8', 'src9')
-), best AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, score DESC, doc_id) AS k FROM hits WHERE source = 'src8') WHERE k = 1
-) SELECT item_id, doc_id, rank FROM kept UNION ALL SELECT item_id, doc_id, 0 FROM best""",
+    + """, own AS (SELECT item_id, doc_id, source, matched, score FROM scored JOIN documents USING (doc_id)
+), kept AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM own WHERE source NOT IN ('src8', 'src9')
+), best AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, score DESC, doc_id) AS k FROM own WHERE source = 'src8') WHERE k = 1
+) SELECT item_id, doc_id, rank FROM kept WHERE rank <= 30 UNION ALL SELECT item_id, doc_id, 0 FROM best""",
 )
 def own_schedule(spark, sf):
-    """Hits of some sources are taken out; the nearest of one of them is put back in front."""
-    rows = hits(spark, sf)
-    kept = rows.filter(~F.col("source").isin("src8", "src9")).select("item_id", "doc_id", "rank")
-    near = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("matched"), F.desc("score"), "doc_id"))
-    own = rows.filter("source = 'src8'").withColumn("k", near).filter("k = 1")
-    return kept.unionByName(own.select("item_id", "doc_id", F.lit(0).cast("long").alias("rank")))
+    """A search without the documents of some sources, and before it the nearest document of one of them by a search of its own."""
+    rows = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    kept = R.best(rows.filter(~F.col("source").isin("src8", "src9")), "item_id", "doc_id", 30).select("item_id", "doc_id", "rank")
+    near = F.max(F.struct("matched", "score", (-F.col("doc_id")).alias("d"))).alias("m")
+    own = rows.filter("source = 'src8'").groupBy("item_id").agg(near)
+    return kept.unionByName(own.select("item_id", (-F.col("m.d")).alias("doc_id"), F.lit(0).cast("long").alias("rank")))
 
 
 @query(

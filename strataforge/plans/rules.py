@@ -10,36 +10,56 @@ from ..sources.tables import table
 from .registry import query
 
 RULES = [
-    T.Rule("r_trash", "emergency", ["trash", "worthless"]),
-    T.Rule("r_moron", "urgent", ["moron", "stupid"], mild_if=["the"], serious_if=["pathetic"]),
-    T.Rule("r_secret", "urgent", [r"password", r"api[_ ]?key"]),
-    T.Rule("r_quiet", "mental_health", [r"(?:^|[^a-z])alone(?:[^a-z]|$)"]),
+    T.Rule("r_trash", "emergency", ["trash", "worthless"], contradicted_if=["not worthless"]),
+    T.Rule("r_moron", "urgent", ["moron", "stupid", "idiot"], mild_if=["the"], serious_if=["pathetic"]),
+    T.Rule("r_secret", "urgent", ["password", "api[_ ]?key"], contradicted_if=["example password"]),
+    T.Rule("r_quiet", "mental_health", ["(?:^|[^a-z])alone(?:[^a-z]|$)"]),
+    T.Rule("r_hopeless", "mental_health", ["hopeless", "give up", "pathetic"]),
     T.Rule("r_short_question", "urgent", [], requires=["short", "asks"]),
     T.Rule("r_long", "routine", [], requires=["long"]),
+    T.Rule("r_water", "routine", ["eau", "wasser", "agua"], mild_if=["the"], serious_if=["with"]),
+    T.Rule("r_school", "routine", ["sch", "escuela"]),
 ]
-_TEXT = "lower(text)"
-_HITS = {
-    "r_trash": f"regexp_matches({_TEXT}, '(?:trash)|(?:worthless)')",
-    "r_moron": f"regexp_matches({_TEXT}, '(?:moron)|(?:stupid)') AND NOT (regexp_matches({_TEXT}, 'the') AND NOT regexp_matches({_TEXT}, 'pathetic'))",
-    "r_secret": f"regexp_matches({_TEXT}, '(?:password)|(?:api[_ ]?key)')",
-    "r_short_question": "length(text) < 200 AND contains(text, '?')",
-    "r_quiet": f"regexp_matches({_TEXT}, '(?:^|[^a-z])alone(?:[^a-z]|$)')",
-    "r_long": "length(text) > 4000",
-}
-_LEVEL = {r.name: r.level for r in RULES}
-_ARRAY = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _HITS.items()) + "], lambda x: x IS NOT NULL)"
-_ASSESS = f"SELECT doc_id, array_to_string(m, ',') AS rules, CASE WHEN len(m) = 0 THEN 'routine' " + " ".join(f"WHEN m[1] = '{n}' THEN '{_LEVEL[n]}'" for n in _HITS) + f" END AS level FROM (SELECT doc_id, {_ARRAY} AS m FROM documents)"
-
-
-def _assessed(spark, sf):
-    text = F.lower("text")
-    flags = {"short": F.length("text") < 200, "asks": F.col("text").contains("?"), "long": F.length("text") > 4000}
-    return table(spark, sf, "documents").select("doc_id", T.matched(text, flags, RULES).alias("m"))
+_YOUNG = "(?:^|[^0-9])(?:[0-9]|1[01]) (?:months?|monate?|mois|meses)"
+_FLAGS = {"short": "length(text) < 200", "asks": "contains(text, '?')", "long": "length(text) > 4000", "young": f"regexp_matches(lowered, '{_YOUNG}')"}
+_MATCHED = f"SELECT *, {T.matched_sql('lowered', 'kept', _FLAGS, RULES)} AS m FROM (SELECT *, {T.guarded_sql('lowered', RULES)} AS kept FROM (SELECT *, lower(text) AS lowered FROM %s))"
+
+
+def assessed(rows):
+    """``rows`` with ``m``, the names of the rules that their text meets."""
+    lowered = rows.withColumn("lowered", F.lower("text"))
+    flags = {"short": F.length("text") < 200, "asks": F.col("text").contains("?"), "long": F.length("text") > 4000, "young": F.col("lowered").rlike(_YOUNG)}
+    kept = lowered.withColumn("kept", T.guarded(F.col("lowered"), RULES))
+    return kept.withColumn("m", T.matched(F.col("lowered"), F.col("kept"), flags, RULES))
+
+
+_ASSESS = "SELECT doc_id, array_to_string(m, ',') AS rules, CASE WHEN len(m) = 0 THEN 'routine' " + " ".join(f"WHEN m[1] = '{r.name}' THEN '{r.level}'" for r in RULES) + f" END AS level FROM ({_MATCHED % 'documents'})"
 
 
 @query("T6_rule_assess", _ASSESS)
 def rule_assess(spark, sf):
-    return _assessed(spark, sf).select("doc_id", F.array_join("m", ",").alias("rules"), T.level_of(F.col("m"), RULES).alias("level"))
+    """Rules of the table with their guards: a match counts where no negation reaches it and its sentence is not hypothetical."""
+    return assessed(table(spark, sf, "documents")).select("doc_id", F.array_join("m", ",").alias("rules"), T.level_of(F.col("m"), RULES).alias("level"))
+
+
+@query("T3_rule_hits", f"SELECT conv_id, turn, array_to_string(m, ',') AS rules FROM ({_MATCHED % 'conversations'}) WHERE len(m) > 0")
+def rule_hits(spark, sf):
+    return assessed(table(spark, sf, "conversations")).filter(F.size("m") > 0).select("conv_id", "turn", F.array_join("m", ",").alias("rules"))
+
+
+@query("T2_hypothetical_guard", f"SELECT doc_id, length(lower(text)) - length({T.without_hypothetical_sql('lower(text)')}) AS dropped FROM documents WHERE regexp_matches(lower(text), '{T._HYPOTHETICAL}')")
+def hypothetical_guard(spark, sf):
+    """How many characters of each document stand in hypothetical sentences."""
+    lowered = F.lower("text")
+    return table(spark, sf, "documents").filter(lowered.rlike(T._HYPOTHETICAL)).select("doc_id", (F.length(lowered) - F.length(T.without_hypothetical(lowered))).cast("long").alias("dropped"))
+
+
+@query("W7_newly_matched", f"WITH a AS (SELECT conv_id, turn, unnest(m) AS rule FROM ({_MATCHED % 'conversations'}) WHERE role = 'user'), f AS (SELECT conv_id, rule, min(turn) AS turn FROM a GROUP BY ALL) SELECT conv_id, turn, string_agg(rule, ',' ORDER BY rule) AS rules FROM f GROUP BY conv_id, turn")
+def newly_matched(spark, sf):
+    """Rules that a user's turn meets and no turn before it: the first turn of each rule, as a minimum."""
+    each = assessed(table(spark, sf, "conversations").filter("role = 'user'")).select("conv_id", "turn", F.explode("m").alias("rule"))
+    first = each.groupBy("conv_id", "rule").agg(F.min("turn").alias("turn"))
+    return first.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_list("rule")), ",").alias("rules"))
 
 
 @query("T5_flags", r"SELECT conv_id, turn, regexp_matches(lower(text), '(?:^|[^\p{L}])(?:est|ist|is|es)(?:[^\p{L}]|$)') AS states, length(text) < 120 AS short, contains(text, '?') AS asks FROM conversations")
@@ -47,17 +67,17 @@ def flags(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"(?:^|[^\p{L}])(?:est|ist|is|es)(?:[^\p{L}]|$)").alias("states"), (F.length("text") < 120).alias("short"), F.col("text").contains("?").alias("asks"))
 
 
-@query("T1_negation_guard")
+@query("T1_negation_guard", f"SELECT conv_id, turn, len(regexp_extract_all({T.without_negated_sql('lower(text)')}, 'the|eau|sch'))::BIGINT AS hits FROM conversations WHERE regexp_matches(lower(text), 'the|eau|sch')")
 def negation_guard(spark, sf):
-    """Matches that no negation reaches; positions need Python, so this is tested by a truth table."""
+    """Matches that no negation reaches."""
     rows = table(spark, sf, "conversations").filter(F.lower("text").rlike("the|eau|sch"))
-    return rows.select("conv_id", "turn", T.unnegated("the|eau|sch")("text").alias("hits"))
+    return rows.select("conv_id", "turn", F.regexp_count(T.without_negated(F.lower("text")), F.lit("the|eau|sch")).cast("long").alias("hits"))
 
 
 @query("F10_unit_rewrite")
 def unit_rewrite(spark, sf):
     """Fahrenheit values in texts get their Celsius value."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 200), F.lit(" "), (95 + F.col("turn") % 10).cast("string"), F.lit(" F")).alias("text"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), (95 + F.col("turn") % 10).cast("string"), F.lit(" F")).alias("text"))
     return rows.select("conv_id", "turn", T.with_converted_units(F.col("text")).alias("text"))
 
 
@@ -72,7 +92,7 @@ def explain_match(spark, sf):
 def banner(spark, sf):
     level = T.level_of(F.col("m"), RULES)
     head = F.when(level == "emergency", "Call now: ").when(level == "urgent", "See someone today: ").when(level == "mental_health", "Talk to someone: ").otherwise("")
-    return _assessed(spark, sf).filter(F.size("m") > 0).select("doc_id", F.concat(head, F.array_join("m", "; ")).alias("banner"))
+    return assessed(table(spark, sf, "documents")).filter(F.size("m") > 0).select("doc_id", F.concat(head, F.array_join("m", "; ")).alias("banner"))
 
 
 @query("T9_citations", r"SELECT doc_id, len(c) AS markers, len(list_filter(c, lambda x: x::INT < 1 OR x::INT > 3)) AS out_of_range FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '(\w+), ', '\1 [' || (doc_id % 5) || '] ', 'g'), '\[([0-9]+)\]', 1) AS c FROM documents)")

@@ -151,12 +151,14 @@ def last_six_turns(spark, sf):
     return table(spark, sf, "conversations").withColumn("k", k).filter("k <= 6").select("conv_id", "turn", "role")
 
 
-@query("W3_conversation_context", "SELECT conv_id, turn, string_agg(CASE WHEN role = 'user' THEN substr(text, 1, 40) END, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
+@query("W3_conversation_context", "SELECT conv_id, turn, string_agg(CASE WHEN role = 'user' THEN text END, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
 def conversation_context(spark, sf):
-    """What the user said before each turn; a conversation is the window."""
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    said = F.collect_list(F.when(F.col("role") == "user", F.substring("text", 1, 40))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.size(said) > 0, F.array_join(said, " | ")).alias("context"), F.lag("role").over(by).alias("before"))
+    """What the user said before each turn: one array a conversation, of which each turn joins the part before it."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = F.filter(F.slice("t", F.lit(1), F.col("at")), lambda x: (x["role"] == "user") & x["text"].isNotNull())
+    each = turns.select("conv_id", "t", F.posexplode("t").alias("at", "own"))
+    context = F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda x: x["text"]), " | "))
+    return each.select("conv_id", "own.turn", context.alias("context"), F.when(F.col("at") > 0, F.get("t", F.col("at") - 1)["role"]).alias("before"))
 
 
 @query("W4_last_non_null", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_bought FROM events")
@@ -184,19 +186,6 @@ def first_touch(spark, sf):
     return first.select("user_id", F.col("m.event_type").alias("landing"), "m.event_id")
 
 
-@query(
-    "W7_newly_matched",
-    """WITH said AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM conversations WHERE role = 'user'
-), pairs AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS p FROM said
-) SELECT conv_id, turn, len(list_filter(list_distinct(w), lambda x: NOT list_contains(p, x)))::BIGINT AS new_words FROM pairs""",
-)
-def newly_matched(spark, sf):
-    """Words of a user's turn that the turn before did not have."""
-    said = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0).alias("w"))
-    before = F.coalesce(F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
-    return said.withColumn("p", before).select("conv_id", "turn", F.size(F.array_except("w", "p")).cast("long").alias("new_words"))
-
-
 @query("W8_most_overdue", "SELECT r_name, strftime(coalesce(max(o_orderdate), TIMESTAMP '2000-01-01'), '%Y-%m-%d') AS newest FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY r_name")
 def most_overdue(spark, sf):
     """The newest pending order of each region, with a date for regions without one; aggregated before the joins."""

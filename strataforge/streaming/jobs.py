@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -9,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
 def event_stream(spark: SparkSession, folder: str, files_a_trigger: int = 1) -> DataFrame:
@@ -33,7 +35,7 @@ def drained(stream: DataFrame, mode: str = "append", change: Callable[[DataFrame
     Batches are written under their number, so a batch that is repeated after a failure overwrites itself.
     """
     spark = stream.sparkSession
-    base = _checkpoint(spark)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         (change(batch) if change else batch).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")

@@ -19,13 +19,24 @@ from strataforge.operators import rules as T
         ("no, it was a very long time ago that fever", "fever", False),
     ],
 )
-def test_negation(text, word, negated):
-    assert T.is_negated(text, text.index(word)) is negated
+def test_negation(spark, text, word, negated):
+    left = spark.createDataFrame([(text,)], "t string").select(T.without_negated(F.col("t"))).first()[0]
+    assert (word not in left) is negated
 
 
-def test_unnegated_counts(spark):
-    rows = spark.createDataFrame([("no fever, fever",), (None,), ("",)], "t string")
-    assert [r[0] for r in rows.select(T.unnegated("fever")("t")).collect()] == [1, 0, 0]
+@pytest.mark.parametrize(
+    "text, left",
+    [
+        ("how to avoid fever. he has fever", " he has fever"),
+        ("what is fever? why does fever come! fever", " fever"),
+        ("if he gets fever", ""),
+        ("years ago he had fever\nnow fever", "now fever"),
+        ("can you explain fever", ""),
+        ("the fever is high", "the fever is high"),
+    ],
+)
+def test_hypothetical(spark, text, left):
+    assert spark.createDataFrame([(text,)], "t string").select(T.without_hypothetical(F.col("t"))).first()[0] == left
 
 
 def test_unit_rewrite(spark):
@@ -34,7 +45,17 @@ def test_unit_rewrite(spark):
 
 
 def test_levels(spark):
-    rules = [T.Rule("a", "urgent", ["x"]), T.Rule("b", "emergency", ["yy"]), T.Rule("c", "urgent", ["z"], mild_if=["little"], serious_if=["very"])]
-    rows = spark.createDataFrame([("x yy",), ("x",), ("q",), ("z little",), ("z little very",)], "t string")
-    m = T.matched(F.col("t"), {}, rules)
-    assert [tuple(r) for r in rows.select(F.array_join(m, ","), T.level_of(m, rules)).collect()] == [("b,a", "emergency"), ("a", "urgent"), ("", "routine"), ("", "routine"), ("c", "urgent")]
+    rules = [T.Rule("a", "urgent", ["x"], contradicted_if=["not really"]), T.Rule("b", "emergency", ["yy"]), T.Rule("c", "urgent", ["z"], mild_if=["little"], serious_if=["very"])]
+    rows = spark.createDataFrame([("x yy",), ("x",), ("q",), ("z little",), ("z little very",), ("no x",), ("why does x",), ("x, not really",), ("z little baby",)], "t string")
+    flags = {"young": F.col("t").contains("baby")}
+    m = T.matched(F.col("t"), T.guarded(F.col("t"), rules), flags, rules)
+    wanted = [("b,a", "emergency"), ("a", "urgent"), ("", "routine"), ("", "routine"), ("c", "urgent"), ("", "routine"), ("", "routine"), ("", "routine"), ("c", "urgent")]
+    assert [tuple(r) for r in rows.select(F.array_join(m, ","), T.level_of(m, rules)).collect()] == wanted
+
+
+def test_locale_sort(spark):
+    from strataforge.plans import extra
+
+    assert [r["place"] for r in extra.locale_sort(spark, "/root/testdata/sf0.001").orderBy("n_name").collect()] == list(range(1, 26))
+    names = [r[0] for r in spark.createDataFrame([("Zypern",), ("Österreich",), ("Oman",)], "n string").orderBy(F.collate("n", "de")).collect()]
+    assert names == ["Oman", "Österreich", "Zypern"]
