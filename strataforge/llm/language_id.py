@@ -162,7 +162,8 @@ class Predictor:
 def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Network | None:
     """Fit a network on a bounded sample of rows (doc_id, text, lang); None if there are none."""
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = written(rows.groupBy("lang").count(), "labels")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = written(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")), "labels")  # of different rows: repeated ones share a hash
     n_langs = counts.count()
     if not n_langs:
         return None
@@ -172,7 +173,7 @@ def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Network | None
     share = counts.select("lang", F.least(F.lit(scale), F.ceil((2 * most + 64) * scale / F.col("count"))).cast("long").alias("share"))
     data, n = F.encode("text", "UTF-8"), F.octet_length("text")
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_A_ROW - 1)), lambda j: F.substring(data, F.lit(1) + F.floor(j * F.greatest(n - WINDOW, F.lit(0)) / (WINDOWS_A_ROW - 1)).cast("int"), F.lit(WINDOW)))
-    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(share, "lang").filter(F.pmod("h", F.lit(scale)) < F.col("share"))
+    drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(scale)) < F.col("share"))
     drawn = drawn.select("lang", F.pmod("h", F.lit(scale)).alias("place"), "h", cut.alias("windows"))
     sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).filter(F.col("n") <= most).select("lang", "h", "windows").collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
