@@ -13,7 +13,8 @@ next to the owner that the range has in common, so equal windows agree in them,
 range and bytes are an owner of their own. Ranges are halved until no owner has too many contexts,
 at the latest when a range is one place and the bytes are the window.
 
-In a task, the distinct contexts of one owner become one text, with a symbol of
+In a task, the distinct contexts of one owner, cut to the ranges of places whose common bytes another
+context has as well (others can't hold equal windows), become one text, with a symbol of
 the owner's own for its bytes, and neighbours in the suffix array of that text tell which
 windows occur twice. The array is built as in Baier's linear-time grouping construction (2016):
 suffixes are grouped by their first symbol; groups are taken in descending order,
@@ -51,6 +52,7 @@ LENGTH = 200
 GRAM = 64
 SYMBOLS = 1 << 14  # contexts of several owners share a suffix array up to about so many symbols
 MOST_SYMBOLS = 1 << 20  # of one owner; beyond, it is split
+RANGE = 35  # places of a context that are looked at together before it takes part
 _POSITION = U((1 << 31) - 1)
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -239,6 +241,30 @@ def parts_of(context: bytes, size: int) -> Iterator[tuple[bytes, bytes, int]]:
         yield common, bytes([b]) + left[n - b :] + right[: free - a], n - b
 
 
+def facing(contexts: list[tuple[bytes, bool]], size: int = RANGE) -> list[tuple[int, bytes, int]]:
+    """(number, context, first window) of one owner's contexts that may share a window not yet known to occur twice.
+
+    Each is cut to the ranges of ``size`` places whose common bytes another context has, too. A context marked True
+    occurs twice itself: its windows are known, and it only shows those of others.
+    """
+    seen: dict[bytes, tuple[int, bool]] = {}  # common bytes: how many contexts, and whether one is unknown
+    parts = []
+    for context, known in contexts:
+        parts.append(list(parts_of(context, size)))
+        for common, _, _ in parts[-1]:
+            n, unknown = seen.get(common, (0, False))
+            seen[common] = n + 1, unknown or not known
+    out = []
+    for k, own in enumerate(parts):
+        hit = [(part, at) for common, part, at in own if seen[common][0] > 1 and seen[common][1]]
+        if hit:  # places ascend, so the first part reaches furthest right and the last one furthest left
+            n, left = contexts[k][0][0], contexts[k][0][1:]
+            (near, _), (far, first) = hit[0], hit[-1]
+            end = n + len(near) - 1 - near[0]
+            out.append((k, far[:1] + left[first:end], first))
+    return out
+
+
 def _split(size: int):
     """Rows of _CONTEXTS -> the same windows, each range of ``size`` places with an owner of its own."""
 
@@ -296,14 +322,14 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by owner -> key, context_id, runs (first, end of windows that occur twice, in pairs)."""
     window = LENGTH - GRAM + 1
     out: list[tuple[int, int, list[int]]] = []
-    waiting: list[tuple[int, int, bytes, bool]] = []
+    waiting: list[tuple[int, int, bytes, bool, int]] = []
     symbols = 0
 
     def solve() -> None:
-        for (key, cid, _, many), hit in zip(waiting, repeated_windows([(w[0], w[2]) for w in waiting])):
+        for (key, cid, _, many, at), hit in zip(waiting, repeated_windows([(w[0], w[2]) for w in waiting])):
             if not many and hit.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                out.append((key, cid, edges.tolist()))
+                out.append((key, cid, (edges + at).tolist()))
         waiting.clear()
 
     def take(rows: list[tuple[int, int, bytes, bool]]) -> None:
@@ -312,8 +338,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if many:
                 out.append((key, cid, [0, len(context) - window + 1]))
         if len(rows) > 1 and not all(r[3] for r in rows):
-            waiting.extend(rows)
-            symbols += sum(len(r[2]) + 1 for r in rows)
+            for k, context, at in facing([r[2:] for r in rows]):
+                waiting.append((rows[k][0], rows[k][1], context, rows[k][3], at))
+                symbols += len(context) + 1
             if symbols >= SYMBOLS:
                 solve()
                 symbols = 0

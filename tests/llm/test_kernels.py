@@ -202,6 +202,27 @@ def test_windows_of_a_split_context():
         assert [found[k] for k in sorted(found)] == windows(context) and sorted(found) == list(range(len(context) - free))
 
 
+def test_facing_contexts_keep_all_shared_windows():
+    r = random.Random(8)
+    texts = [bytes(r.choices(b"ab", k=272)) for _ in range(3)]
+    contexts = []
+    for t in texts * 6:
+        left, right = r.randint(0, 136), r.randint(0, 136)
+        if left + right < 136:
+            continue
+        edited = bytearray(t[136 - left : 136 + right])
+        for _ in range(r.choice((0, 0, 1, 3))):
+            edited[r.randrange(len(edited))] = 99
+        contexts.append((bytes([left]) + bytes(edited), r.random() < 0.2))
+    whole = suffix_dedup.repeated_windows([(0, c) for c, _ in contexts])
+    facing = suffix_dedup.facing(contexts)
+    cut = [np.zeros(len(h), bool) for h in whole]
+    for (k, c, at), hit in zip(facing, suffix_dedup.repeated_windows([(0, c) for _, c, _ in facing])):
+        cut[k][at : at + len(hit)] = hit
+    assert any(h.any() for (_, known), h in zip(contexts, whole) if not known)
+    assert all((h == c).all() for (_, known), h, c in zip(contexts, whole, cut) if not known)
+
+
 def test_ends_reach_over_small_edits():
     a = np.arange(100)
     b = np.concatenate([a[:20], [900], a[21:40], a[41:60], [901], a[60:]])
