@@ -41,11 +41,20 @@ def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFram
 
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written tables whose results have been written in turn."""
+    """Delete written tables whose results have been written in turn, and the shuffle files of finished jobs."""
     for path in paths:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     paths.clear()
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect plans that are out of use: Spark deletes a shuffle's files when its plan is collected.
+
+    What was written is read from its table from then on, so no shuffle before it is needed, even if executors are lost.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 ROWS_A_BATCH, BYTES_A_BATCH = 1000, 8 << 20  # whole texts go to Python workers, so Spark's usual 10,000 rows and 64 MB would be large
