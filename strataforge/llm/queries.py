@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, mixing, near_dup, passages, permutation_index, suffix_dedup, token_output, url_filters
+from . import byte_bpe, fingerprints, language_id, lexical_search, mixing, near_dup, passages, permutation_index, suffix_dedup, token_output, url_filters
 from .shared import table
 
 
@@ -51,6 +51,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, token_output.write_files(table(spark, sf_dir, "documents")))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_shared_passages": op1_shared_passages,
     "op2_mixing": op2_mixing,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _MIX_SQL = f"""
@@ -166,4 +171,22 @@ LEFT JOIN node_of ON p.ok AND node_of.url = p.url
 LEFT JOIN aliases ON aliases.node = node_of.node
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": _MIX_SQL, "op5_url_filters": _URL_SQL}
+_SEARCH_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
+), d AS (SELECT doc_id, r, terms, len(terms)::BIGINT AS n FROM t WHERE len(terms) > 0
+), facts AS (SELECT count(*)::HUGEINT AS docs, sum(n) AS total FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+), p AS (SELECT doc_id, r, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, r, n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), facts
+), scored AS (
+  SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * docs) // total)))))::BIGINT AS score
+  FROM p JOIN w USING (term) JOIN q USING (term), facts GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 AND doc_id IS NOT NULL)
+WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": _MIX_SQL, "op5_url_filters": _URL_SQL, "op13_lexical_search": _SEARCH_SQL}
