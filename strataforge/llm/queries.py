@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, lexical_search, mixing, near_dup, passages, permutation_index, suffix_dedup, token_output, url_filters
+from . import alignment, byte_bpe, fingerprints, language_id, lexical_search, mixing, near_dup, passages, permutation_index, quality, suffix_dedup, token_output, url_filters
 from .shared import table
 
 
@@ -51,6 +51,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, token_output.write_files(table(spark, sf_dir, "documents")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +74,8 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
+    "op11_quality": op11_quality,
+    "op12_alignment": op12_alignment,
     "op13_lexical_search": op13_lexical_search,
 }
 
