@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean_line, word_count
+from .keywords import count_of
 
 # Chunk sizes in words.
 TARGET, MOST, OVERLAP, LEAST = 320, 480, 40, 40
@@ -97,8 +98,7 @@ def merge_small(chunks: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.aggregate(chunks, start, add)
 
 
-def label_by_hits(text: Column, topics: dict[str, list[str]]) -> Column:
-    """The topic with most keyword hits, the first declared on ties, null without a hit."""
-    scored = [F.struct(F.regexp_count(F.lower(text), F.lit(rf"(?:^|[^\p{{L}}])(?:{'|'.join(words)})")).alias("n"), F.lit(-i).alias("order"), F.lit(t).alias("topic")) for i, (t, words) in enumerate(topics.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["topic"])
+def most_hits(matches: str, labels: list[str]) -> Column:
+    """The label with most matches, the first declared on ties, null without any."""
+    best = F.array_max(F.array(*[F.struct(count_of(x, matches).alias("n"), F.lit(-i).alias("order"), F.lit(x).alias("label")) for i, x in enumerate(labels)]))
+    return F.when(best["n"] > 0, best["label"])

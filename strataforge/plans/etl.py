@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTED, PLAIN, clean_line, dehyphenate, fold, share, slug, tokens, unify_digits, visible_text, word_count
 from ..operators import etl as E
+from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
 
@@ -193,29 +194,52 @@ def chunk_ids(spark, sf):
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.concat_ws("#", "slug", n.cast("string")).alias("chunk_id"))
 
 
-_TOPICS = {"motion": ["ation", "tion", "ing"], "house": ["the", "der", "la"], "water": ["eau", "mer", "agua"], "person": ["who", "qui", "wer"]}
+# Rows of keyword tables in four languages, in words of our own; ``$`` asks for a whole word.
+_TOPICS = {
+    "motion": ["walk", "run$", "running", "fall$", "marche", "courir", "gehen", "laufen", "caminar", "correr", "tion", "ing$"],
+    "house": ["house", "home$", "the$", "maison", "chez$", "la$", "haus", "heim$", "der$", "casa", "hogar"],
+    "water": ["water", "sea$", "eau", "mer$", "wasser", "agua", "mar$", "cold water", "eau froide"],
+    "person": ["who$", "person", "qui$", "personne", "wer$", "mensch", "quién", "persona", "child", "enfant", "kind$", "niño"],
+}
+_LABELS = {
+    "english": ["the$", "and$", "with$", "which$"], "romance": ["que$", "para$", "pour$", "avec$"], "german": ["und$", "nicht$", "mit$", "für$"],
+    "feeding": ["breast", "bottle", "feeding", "sein$", "biberon", "stillen", "flasche", "pecho", "biberón"],
+    "sleep": ["sleep", "nap$", "dormir", "sieste", "schlaf", "sueño", "siesta"],
+    "rights": ["all rights reserved", "copyright", "licen"],
+    "insult": ["trash", "moron", "worthless", "stupid", "idiot", "pathetic"],
+}
+
+
+def _hits_sql(keywords: list[str]) -> str:
+    """Matches of one table; the text's spaces are doubled, since a pattern takes the character before a match."""
+    return f"len(regexp_extract_all(regexp_replace(lower(text), '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1\\1', 'g'), '{pattern_of([k.replace(' ', '  ') for k in keywords])}'))"
+
+
+def _rows(tables: dict[str, list[str]]) -> list[tuple[str, str]]:
+    return [(label, k) for label, keywords in tables.items() for k in keywords]
 
 
 @query(
     "C16_topic_argmax",
-    r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\p{L}])(?:ation|tion|ing)')) AS a, len(regexp_extract_all(lower(text), '(?:^|[^\p{L}])(?:the|der|la)')) AS b,
-  len(regexp_extract_all(lower(text), '(?:^|[^\p{L}])(?:eau|mer|agua)')) AS c, len(regexp_extract_all(lower(text), '(?:^|[^\p{L}])(?:who|qui|wer)')) AS d FROM documents
-) SELECT doc_id, CASE WHEN greatest(a, b, c, d) = 0 THEN NULL WHEN a = greatest(a, b, c, d) THEN 'motion' WHEN b = greatest(a, b, c, d) THEN 'house' WHEN c = greatest(a, b, c, d) THEN 'water' ELSE 'person' END AS topic FROM c""",
+    f"WITH c AS (SELECT doc_id, {', '.join(f'{_hits_sql(k)} AS {t}' for t, k in _TOPICS.items())} FROM documents) "
+    f"SELECT doc_id, CASE WHEN greatest({', '.join(_TOPICS)}) = 0 THEN NULL {' '.join(f'WHEN {t} = greatest({chr(44).join(_TOPICS)}) THEN {chr(39)}{t}{chr(39)}' for t in _TOPICS)} END AS topic, {' + '.join(_TOPICS)} AS hits FROM c",
 )
 def topic_argmax(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", E.label_by_hits(F.col("text"), _TOPICS).alias("topic"))
+    """The topic with most keyword hits, the first of the table on ties, null without a hit: one pass of one automaton."""
+    rows = with_matches(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lowered")), "lowered", _rows(_TOPICS))
+    topic = E.most_hits("matches", list(_TOPICS))
+    return rows.select("doc_id", topic.alias("topic"), F.size("matches").cast("long").alias("hits"))
 
 
 @query(
     "C17_labels",
-    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS t FROM documents
-), f AS (SELECT doc_id, list_filter(list_transform([['the', 'english'], ['que', 'romance'], ['und', 'german']], lambda x: CASE WHEN list_contains(t, x[1]) THEN x[2] END), lambda x: x IS NOT NULL) AS found FROM t
-) SELECT doc_id, CASE WHEN len(found) = 0 THEN 'all' ELSE array_to_string(found, ',') END AS labels FROM f""",
+    f"WITH f AS (SELECT doc_id, list_filter([{', '.join(f'CASE WHEN {_hits_sql(k)} > 0 THEN {chr(39)}{t}{chr(39)} END' for t, k in _LABELS.items())}], lambda x: x IS NOT NULL) AS found FROM documents) "
+    "SELECT doc_id, CASE WHEN len(found) = 0 THEN 'all' ELSE array_to_string(found, ',') END AS labels FROM f",
 )
 def all_labels(spark, sf):
-    """All matching labels, or ``all``."""
-    rows = table(spark, sf, "documents").select("doc_id", tokens(F.lower("text")).alias("t"))
-    found = F.array_compact(F.array(*[F.when(F.array_contains("t", w), F.lit(n)) for w, n in (("the", "english"), ("que", "romance"), ("und", "german"))]))
+    """All labels with a keyword in the text, in the table's order, or ``all``."""
+    rows = with_matches(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lowered")), "lowered", _rows(_LABELS))
+    found = F.array_intersect(F.array(*[F.lit(x) for x in _LABELS]), labels_of())
     return rows.select("doc_id", F.array_join(F.when(F.size(found) == 0, F.array(F.lit("all"))).otherwise(found), ",").alias("labels"))
 
 

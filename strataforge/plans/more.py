@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import search_terms, tokens
 from ..operators import etl as E
+from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
 from .retrieval import _FOLD, _STOP, _TOK
@@ -137,12 +138,14 @@ def vector_similarity(spark, sf):
     return rows.select("vec_id", F.explode(near).alias("a")).select("a.query_id", "vec_id", F.round("a.cosine", 6).alias("cosine"))
 
 
-@query("J13_rules_by_text", "WITH r(name, word) AS (VALUES ('a', 'trash'), ('b', 'moron'), ('c', 'pathetic'), ('d', 'rights')) SELECT name, count(*) AS n FROM documents JOIN r ON contains(lower(text), word) GROUP BY name")
+_BY_TEXT = [("a", "trash"), ("b", "moron"), ("c", "pathetic"), ("d", "all rights"), ("e", "stupid"), ("f", "password"), ("g", "que$"), ("h", "und$"), ("i", "worthless"), ("i", "idiot")]
+
+
+@query("J13_rules_by_text", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM documents WHERE regexp_matches(lower(text), '{pattern_of([w for m, w in _BY_TEXT if m == n])}') HAVING count(*) > 0" for n in dict.fromkeys(n for n, _ in _BY_TEXT)))
 def rules_by_text(spark, sf):
-    """How often each rule fires; rules are columns, so there is no join on patterns."""
-    text = F.lower("text")
-    fired = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(n)) for n, w in (("a", "trash"), ("b", "moron"), ("c", "pathetic"), ("d", "rights"))]))
-    return table(spark, sf, "documents").select(F.explode(fired).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """How many texts each rule fires in: rules times texts without a join, by one automaton that every text runs through once."""
+    rows = with_matches(table(spark, sf, "documents").select(F.lower("text").alias("lowered")), "lowered", _BY_TEXT)
+    return rows.select(F.explode(labels_of()).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("J15_regional_only", "SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal < 3000 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")

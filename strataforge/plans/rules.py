@@ -9,56 +9,87 @@ from ..operators import rules as T
 from ..sources.tables import table
 from .registry import query
 
+# Rows of a rule table, in words of our own; a negation inside a keyword is part of the signal.
 RULES = [
     T.Rule("r_trash", "emergency", ["trash", "worthless"], contradicted_if=["not worthless"]),
-    T.Rule("r_moron", "urgent", ["moron", "stupid", "idiot"], mild_if=["the"], serious_if=["pathetic"]),
-    T.Rule("r_secret", "urgent", ["password", "api[_ ]?key"], contradicted_if=["example password"]),
-    T.Rule("r_quiet", "mental_health", ["(?:^|[^a-z])alone(?:[^a-z]|$)"]),
-    T.Rule("r_hopeless", "mental_health", ["hopeless", "give up", "pathetic"]),
+    T.Rule("r_breath", "emergency", ["not breathing", "cannot breathe", "can't breathe", "atmet nicht", "bekommt keine luft", "ne respire pas", "no respira", "no puede respirar", "não respira", "nao respira", "turned blue", "wird blau"]),
+    T.Rule("r_pulse", "emergency", ["no pulse", "kein puls", "pas de pouls", "sin pulso", "sem pulso"]),
+    T.Rule("r_wake", "emergency", ["won't wake", "not waking", "cannot be woken", "wacht nicht auf", "ne se réveille pas", "no despierta", "não acorda", "unconscious", "bewusstlos", "inconsci"]),
+    T.Rule("r_fit", "emergency", ["seizure", "convuls", "krampfanfall", "krampfanfäll", "fits$"]),
+    T.Rule("r_bleed", "emergency", ["won't stop bleeding", "blutung stoppt nicht", "ne cesse pas de saigner", "no deja de sangrar", "não para de sangrar", "bleeds heavily", "blutet stark"]),
+    T.Rule("r_poison", "emergency", ["swallowed a battery", "swallowed bleach", "batterie verschluckt", "avalé une pile", "tragado una pila", "tragó una pila", "engoliu uma pilha"]),
+    T.Rule("r_moron", "urgent", ["moron", "stupid", "idiot"], mild_if=["the$"], serious_if=["pathetic"]),
+    T.Rule("r_secret", "urgent", ["password", "api key", "api_key", "apikey"], contradicted_if=["example password"]),
+    T.Rule("r_neck", "urgent", ["stiff neck", "nackensteif", "steifer nacken", "nuque raide", "cuello rígido", "pescoço rígido"]),
+    T.Rule("r_dry", "urgent", ["no tears", "no wet nappies", "keine tränen", "pas de larmes", "sin lágrimas", "sem lágrimas", "sunken eyes", "eingesunkene augen"]),
+    T.Rule("r_drink", "urgent", ["not drinking", "refuses to drink", "trinkt nicht", "ne boit pas", "no bebe", "não bebe"]),
+    T.Rule("r_rash", "urgent", ["purple rash", "purple spots", "lila flecken", "taches violettes", "manchas moradas", "manchas roxas"]),
+    T.Rule("r_burn", "urgent", ["scald", "verbrüht", "brûlure", "quemadura", "queimadura"], mild_if=["small", "kleine", "petite", "pequeña", "pequena"], serious_if=["face", "gesicht", "visage", "cara$", "rosto"]),
+    T.Rule("r_fever", "urgent", ["newborn has fever", "neugeborenes hat fieber", "nouveau-né a de la fièvre", "recién nacido tiene fiebre", "recém-nascido tem febre"], requires=["young", "hot"]),
+    T.Rule("r_quiet", "mental_health", ["alone"]),
+    T.Rule("r_hopeless", "mental_health", ["hopeless", "give up", "pathetic", "hoffnungslos", "sans espoir", "sin esperanza", "sem esperança"]),
     T.Rule("r_short_question", "urgent", [], requires=["short", "asks"]),
     T.Rule("r_long", "routine", [], requires=["long"]),
-    T.Rule("r_water", "routine", ["eau", "wasser", "agua"], mild_if=["the"], serious_if=["with"]),
-    T.Rule("r_school", "routine", ["sch", "escuela"]),
+    T.Rule("r_water", "routine", ["eau", "wasser", "agua", "água"], mild_if=["the$"], serious_if=["with$"]),
+    T.Rule("r_school", "routine", ["sch", "escuela", "school", "école", "escola"]),
 ]
 _YOUNG = "(?:^|[^0-9])(?:[0-9]|1[01]) (?:months?|monate?|mois|meses)"
-_FLAGS = {"short": "length(text) < 200", "asks": "contains(text, '?')", "long": "length(text) > 4000", "young": f"regexp_matches(lowered, '{_YOUNG}')"}
-_MATCHED = f"SELECT *, {T.matched_sql('lowered', 'kept', _FLAGS, RULES)} AS m FROM (SELECT *, {T.guarded_sql('lowered', RULES)} AS kept FROM (SELECT *, lower(text) AS lowered FROM %s))"
+_HOT = "fever|fieber|fièvre|fiebre|febre"
+_FLAGS = {"short": "length(text) < 200", "asks": "contains(text, '?')", "long": "length(text) > 4000", "young": f"regexp_matches(lowered, '{_YOUNG}')", "hot": f"regexp_matches(lowered, '{_HOT}')"}
 
 
-def assessed(rows):
-    """``rows`` with ``m``, the names of the rules that their text meets."""
-    lowered = rows.withColumn("lowered", F.lower("text"))
-    flags = {"short": F.length("text") < 200, "asks": F.col("text").contains("?"), "long": F.length("text") > 4000, "young": F.col("lowered").rlike(_YOUNG)}
-    kept = lowered.withColumn("kept", T.guarded(F.col("lowered"), RULES))
-    return kept.withColumn("m", T.matched(F.col("lowered"), F.col("kept"), flags, RULES))
+def _matched_sql(source: str, lang: str | None) -> str:
+    return f"SELECT *, {T.matched_sql('lowered', 'kept', _FLAGS, RULES)} AS m FROM (SELECT *, {T.left_by_lang_sql('lowered', RULES, lang)} AS kept FROM (SELECT *, lower(text) AS lowered FROM {source}))"
 
 
-_ASSESS = "SELECT doc_id, array_to_string(m, ',') AS rules, CASE WHEN len(m) = 0 THEN 'routine' " + " ".join(f"WHEN m[1] = '{r.name}' THEN '{r.level}'" for r in RULES) + f" END AS level FROM ({_MATCHED % 'documents'})"
+_MATCHED = {"documents": _matched_sql("documents", "lang"), "conversations": _matched_sql("conversations", None)}
+
+
+def assessed(rows, lang=None):
+    """``rows`` with ``m``, the names of the rules that their text meets; guards are those of the language in the column ``lang``."""
+    low = F.col("lowered")
+    flags = {"short": F.length("text") < 200, "asks": F.col("text").contains("?"), "long": F.length("text") > 4000, "young": low.rlike(_YOUNG), "hot": low.rlike(_HOT)}
+    flagged = rows.withColumn("lowered", F.lower("text")).withColumns({f"is_{k}": v for k, v in flags.items()}).drop("text")
+    found = T.with_hits(flagged, "lowered", lang, RULES).drop("lowered")
+    return found.withColumn("m", T.matched(F.col("found"), {k: F.col(f"is_{k}") for k in flags}, RULES))
+
+
+_ASSESS = "SELECT doc_id, array_to_string(m, ',') AS rules, CASE WHEN len(m) = 0 THEN 'routine' " + " ".join(f"WHEN m[1] = '{r.name}' THEN '{r.level}'" for r in RULES) + f" END AS level FROM ({_MATCHED['documents']})"
 
 
 @query("T6_rule_assess", _ASSESS)
 def rule_assess(spark, sf):
-    """Rules of the table with their guards: a match counts where no negation reaches it and its sentence is not hypothetical."""
-    return assessed(table(spark, sf, "documents")).select("doc_id", F.array_join("m", ",").alias("rules"), T.level_of(F.col("m"), RULES).alias("level"))
+    """Rules of the table with their guards: a match counts where no negation reaches it and nothing makes it hypothetical."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return assessed(rows, "lang").select("doc_id", F.array_join("m", ",").alias("rules"), T.level_of(F.col("m"), RULES).alias("level"))
 
 
-@query("T3_rule_hits", f"SELECT conv_id, turn, array_to_string(m, ',') AS rules FROM ({_MATCHED % 'conversations'}) WHERE len(m) > 0")
+@query("T3_rule_hits", f"SELECT conv_id, turn, array_to_string(m, ',') AS rules FROM ({_MATCHED['conversations']}) WHERE len(m) > 0")
 def rule_hits(spark, sf):
-    return assessed(table(spark, sf, "conversations")).filter(F.size("m") > 0).select("conv_id", "turn", F.array_join("m", ",").alias("rules"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return assessed(rows).filter(F.size("m") > 0).select("conv_id", "turn", F.array_join("m", ",").alias("rules"))
 
 
-@query("T2_hypothetical_guard", f"SELECT doc_id, length(lower(text)) - length({T.without_hypothetical_sql('lower(text)')}) AS dropped FROM documents WHERE regexp_matches(lower(text), '{T._HYPOTHETICAL}')")
+def _hypothetical_sql() -> str:
+    of = lambda lang: f"len(list_filter(s, lambda x: {T.hypothetical_sql('x', lang)}))"
+    return f"SELECT doc_id, sentences, hypothetical FROM (SELECT doc_id, len(s)::BIGINT AS sentences, (CASE {' '.join(f'WHEN lang = {chr(39)}{x}{chr(39)} THEN {of(x)}' for x in T.NEGATIONS)} ELSE {of(None)} END)::BIGINT AS hypothetical FROM (SELECT doc_id, lang, {T.sentences_sql('lower(text)')} AS s FROM documents WHERE text IS NOT NULL))"
+
+
+@query("T2_hypothetical_guard", _hypothetical_sql())
 def hypothetical_guard(spark, sf):
-    """How many characters of each document stand in hypothetical sentences."""
-    lowered = F.lower("text")
-    return table(spark, sf, "documents").filter(lowered.rlike(T._HYPOTHETICAL)).select("doc_id", (F.length(lowered) - F.length(T.without_hypothetical(lowered))).cast("long").alias("dropped"))
+    """How many sentences of each document are hypothetical by the guards of its language, and how many it has."""
+    rows = table(spark, sf, "documents").filter("text is not null").select("doc_id", "lang", T.sentences(F.lower("text")).alias("s"))
+    count = F.size(F.filter("s", lambda x: T.hypothetical(x, None)))
+    for lang in T.NEGATIONS:
+        count = F.when(F.col("lang") == lang, F.size(F.filter("s", lambda x: T.hypothetical(x, lang)))).otherwise(count)  # noqa: B023
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), count.cast("long").alias("hypothetical"))
 
 
-@query("W7_newly_matched", f"WITH a AS (SELECT conv_id, turn, unnest(m) AS rule FROM ({_MATCHED % 'conversations'}) WHERE role = 'user'), f AS (SELECT conv_id, rule, min(turn) AS turn FROM a GROUP BY ALL) SELECT conv_id, turn, string_agg(rule, ',' ORDER BY rule) AS rules FROM f GROUP BY conv_id, turn")
+@query("W7_newly_matched", f"WITH a AS (SELECT conv_id, turn, unnest(m) AS rule FROM ({_MATCHED['conversations']}) WHERE role = 'user'), f AS (SELECT conv_id, rule, min(turn) AS turn FROM a GROUP BY ALL) SELECT conv_id, turn, string_agg(rule, ',' ORDER BY rule) AS rules FROM f GROUP BY conv_id, turn")
 def newly_matched(spark, sf):
     """Rules that a user's turn meets and no turn before it: the first turn of each rule, as a minimum."""
-    each = assessed(table(spark, sf, "conversations").filter("role = 'user'")).select("conv_id", "turn", F.explode("m").alias("rule"))
-    first = each.groupBy("conv_id", "rule").agg(F.min("turn").alias("turn"))
+    rows = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    first = assessed(rows).select("conv_id", "turn", F.explode("m").alias("rule")).groupBy("conv_id", "rule").agg(F.min("turn").alias("turn"))
     return first.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_list("rule")), ",").alias("rules"))
 
 
@@ -67,11 +98,14 @@ def flags(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"(?:^|[^\p{L}])(?:est|ist|is|es)(?:[^\p{L}]|$)").alias("states"), (F.length("text") < 120).alias("short"), F.col("text").contains("?").alias("asks"))
 
 
-@query("T1_negation_guard", f"SELECT conv_id, turn, len(regexp_extract_all({T.without_negated_sql('lower(text)')}, 'the|eau|sch'))::BIGINT AS hits FROM conversations WHERE regexp_matches(lower(text), 'the|eau|sch')")
+_WATER = [T.Rule("word", "routine", ["the", "eau", "sch"])]
+
+
+@query("T1_negation_guard", f"SELECT conv_id, turn, hits FROM (SELECT conv_id, turn, len(regexp_extract_all({T.left_of_sql('lower(text)', _WATER)}, '{T.rule_pattern(_WATER, 0)}'))::BIGINT AS hits FROM conversations) WHERE hits > 0")
 def negation_guard(spark, sf):
-    """Matches that no negation reaches."""
-    rows = table(spark, sf, "conversations").filter(F.lower("text").rlike("the|eau|sch"))
-    return rows.select("conv_id", "turn", F.regexp_count(T.without_negated(F.lower("text")), F.lit("the|eau|sch")).cast("long").alias("hits"))
+    """Words that no guard reaches, counted by their places."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").alias("lowered"))
+    return T.with_hits(rows, "lowered", None, _WATER).select("conv_id", "turn", F.size("found.hits").cast("long").alias("hits")).filter("hits > 0")
 
 
 @query("F10_unit_rewrite")
@@ -92,7 +126,8 @@ def explain_match(spark, sf):
 def banner(spark, sf):
     level = T.level_of(F.col("m"), RULES)
     head = F.when(level == "emergency", "Call now: ").when(level == "urgent", "See someone today: ").when(level == "mental_health", "Talk to someone: ").otherwise("")
-    return assessed(table(spark, sf, "documents")).filter(F.size("m") > 0).select("doc_id", F.concat(head, F.array_join("m", "; ")).alias("banner"))
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return assessed(rows, "lang").filter(F.size("m") > 0).select("doc_id", F.concat(head, F.array_join("m", "; ")).alias("banner"))
 
 
 @query("T9_citations", r"SELECT doc_id, len(c) AS markers, len(list_filter(c, lambda x: x::INT < 1 OR x::INT > 3)) AS out_of_range FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '(\w+), ', '\1 [' || (doc_id % 5) || '] ', 'g'), '\[([0-9]+)\]', 1) AS c FROM documents)")
