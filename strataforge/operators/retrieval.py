@@ -1,4 +1,4 @@
-"""Ranked full-text retrieval: postings, BM25 with field weights, and rule-based re-ranking."""
+"""Ranked retrieval: constants of BM25, the best of each query, and rule-based re-ranking."""
 
 from __future__ import annotations
 
@@ -10,33 +10,6 @@ K1, B = 1.2, 0.75  # Robertson, Zaragoza 2009
 LEAST_IDF = 1e-6  # a term of most documents still counts for something
 
 
-def postings(fields: DataFrame, key: str, weights: dict[str, float], length: str) -> DataFrame:
-    """key, len, term, tf: weighted frequency of each term over array columns; ``len`` is the size of the column ``length``.
-
-    A document's fields are one array of (term, weight), so its text is read once and its
-    terms are counted before they are shuffled.
-    """
-    weighed = lambda c, w: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    pairs = F.concat(*[weighed(c, w) for c, w in weights.items()])
-    each = fields.select(key, F.coalesce(F.size(length), F.lit(0)).alias("len"), F.explode(pairs).alias("p"))
-    return each.groupBy(key, "len", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
-
-
-def bm25(posts: DataFrame, asked: DataFrame, key: str, query: str) -> DataFrame:
-    """query, key, score, matched: each query's documents by BM25; ``posts`` from :func:`postings`, ``asked`` has (query, term).
-
-    Count and mean length of the corpus are one row, joined as such; document frequencies come from the
-    asked terms' postings, which are counted where those are read.
-    """
-    facts = posts.groupBy(key, "len").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    wanted = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(facts))  # one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = wanted.join(df.select("term", "mean", idf.alias("idf")), "term").join(asked, "term").select(query, key, part.alias("part"))
-    return scored.groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
-
-
 def best(scored: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
     """The k best rows of each query with their rank; ties go to the smaller key."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), F.col(key)))

@@ -11,7 +11,7 @@ from ..operators import etl as E
 from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
-from .retrieval import _FOLD, _STOP, _TOK
+from .retrieval import _FOLD, _STOP, _TOK, stored_index
 
 
 @query("C7_sentences", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS sentences FROM documents")
@@ -77,13 +77,18 @@ def romanised(spark, sf):
     return table(spark, sf, "pages").select("page_id", romanise(letters).alias("latin"))
 
 
-@query("S13_index_build", f"WITH t AS (SELECT doc_id, unnest({_TOK % (_FOLD % 'text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
+@query(
+    "S13_index_build",
+    f"""WITH d AS (SELECT doc_id, {_TOK % (_FOLD % 'text')} AS body, {_TOK % (_FOLD % "split_part(text, chr(10), 1)")} AS head, {_TOK % (_FOLD % 'source')} AS title FROM documents
+), each AS (SELECT doc_id, unnest(body) AS term, 1.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, unnest(head), 2.0 FROM d UNION ALL SELECT doc_id, unnest(title), 3.0 FROM d
+), posts AS (SELECT doc_id, term, sum(w) AS tf FROM each GROUP BY ALL
+) SELECT term, count(*)::BIGINT AS df, max(tf) AS most, sum(tf) AS weight FROM posts GROUP BY term""",
+)
 def index_build(spark, sf):
-    """Term statistics of the whole index; postings are counted by document first, so frequent terms are merged early."""
-    from ..functions.text import fold
-
-    posts = table(spark, sf, "documents").select("doc_id", F.explode(tokens(fold(F.col("text")))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Every term of the stored index: documents, largest and summed weight, read from its postings."""
+    postings = stored_index(spark, sf)._table("postings")
+    total = F.aggregate("tfs", F.lit(0.0), lambda s, x: s + x)
+    return postings.groupBy("term").agg(F.sum(F.size("slots")).alias("df"), F.max(F.array_max("tfs")).alias("most"), F.sum(total).alias("weight"))
 
 
 @query("S16_dates_in_many_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTED, PLAIN, STOP_WORDS, fold, search_terms, tokens
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .registry import query
@@ -41,18 +42,40 @@ WITH d AS (
 """
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """item_id, doc_id, score, matched of every document with a term of a benchmark passage."""
+#: What an index counts of a document: its words, its first line and its source.
+FIELDS = {"body": 1.0, "head": 2.0, "title": 3.0}
+_INDEXES: dict[tuple[str, str], tuple[int, I.Index]] = {}
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """key, hash, body, head, title of documents."""
+    text, source = F.col("text"), F.col("source")
+    return docs.select(F.col("doc_id").alias("key"), F.sha2(F.concat_ws("\n", "source", "text"), 256).alias("hash"), tokens(fold(text)).alias("body"), tokens(fold(F.split_part(text, F.lit("\n"), F.lit(1)))).alias("head"), tokens(fold(source)).alias("title"))
+
+
+def stored_index(spark: SparkSession, sf: str) -> I.Index:
+    """The index of a folder's documents: built once an application, updated if the files have changed since."""
     docs = table(spark, sf, "documents")
-    fields = docs.select("doc_id", tokens(fold(F.col("text"))).alias("body"), tokens(fold(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("head"), tokens(fold(F.col("source"))).alias("title"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.explode(search_terms(F.col("text"))).alias("term"))
-    posts = R.postings(fields, "doc_id", {"body": 1, "head": 2, "title": 3}, "body")
-    return R.bm25(posts, asked, "doc_id", "item_id")
+    state = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct().agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("h")).first()["h"]
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _INDEXES or _INDEXES[name][0] != state:
+        index = I.update(_INDEXES[name][1], indexed(docs), FIELDS, "body") if name in _INDEXES else I.build(indexed(docs), FIELDS, "body")
+        _INDEXES[name] = (state, index)
+    return _INDEXES[name][1]
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", F.explode(search_terms(F.col("text"))).alias("term"))
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, doc_id, score, matched of every document with a term of a benchmark passage, from the stored index."""
+    return I.everything(stored_index(spark, sf), _asked(spark, sf), "doc_id", "item_id")
 
 
 def hits(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    """item_id, doc_id, score, matched, rank, lang, source: the k best documents of each benchmark passage."""
-    ranked = R.best(scored(spark, sf), "item_id", "doc_id", k)
+    """item_id, doc_id, score, matched, rank, lang, source: the k best documents of each benchmark passage, from the stored index's blocks that may hold them."""
+    ranked = I.top(stored_index(spark, sf), _asked(spark, sf), "doc_id", "item_id", k)
     return ranked.join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
 
 

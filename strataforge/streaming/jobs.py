@@ -29,7 +29,14 @@ def event_stream(spark: SparkSession, folder: str, files_a_trigger: int = 1) ->
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append", change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def end_stream(spark: SparkSession, after: DataFrame, late: str) -> DataFrame:
+    """A stream of one row without a key whose time is ``late`` and a second after the last ``ts``: with it, a drained stream closes all that is there."""
+    path = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
+    after.agg((F.max(F.col("ts").cast("timestamp")) + F.expr(f"interval {late}") + F.expr("interval 1 second")).alias("ts")).write.parquet(path)
+    return spark.readStream.schema("ts timestamp").parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "append", change: Callable[[DataFrame], DataFrame] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Run a stream over what is there, with its checkpoint and its files in the shared folder, and return what it wrote.
 
     Batches are written under their number, so a batch that is repeated after a failure overwrites itself.
@@ -40,7 +47,14 @@ def drained(stream: DataFrame, mode: str = "append", change: Callable[[DataFrame
     def sink(batch: DataFrame, number: int) -> None:
         (change(batch) if change else batch).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or ()}
+    for k, v in (conf or {}).items():  # read when the stream starts
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.parquet(f"{base}/rows")
 
 
@@ -50,6 +64,12 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "7 da
     return events.withWatermark("ts", late).groupBy("user_id", window.alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events")).drop("w")
 
 
+def closed_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """user_id, start, last, events of each visit, once, when the watermark has passed its gap."""
+    window = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy(window.alias("w"), "user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events")).drop("w")
+
+
 def tumbling_stream(events: DataFrame, width: str = "1 day", late: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
