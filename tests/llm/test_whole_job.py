@@ -1,5 +1,7 @@
 """Cases where an operator once did less than its whole job."""
 
+import random
+
 from test_operators import _classes, _text
 
 from strataforge.llm import near_dup, passages
@@ -156,3 +158,51 @@ def test_near_duplicate_families(spark):
     assert len(set(parent.tolist())) > 2
     got = {x["doc_id"]: x["class_id"] for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(parent.tolist()))
+
+
+def _runs(text, k=50):
+    own = text.split()
+    return {tuple(own[i : i + k]): i for i in range(len(own) - k, -1, -1)}
+
+
+def _lost(spark, rows):
+    """Words of a verbatim run of 50 words that an earlier document holds, outside all passages of their document."""
+    covered = {}
+    for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    seen, lost, repeated = {}, [], 0
+    for i, text in sorted(rows):
+        own = text.split()
+        for at in range(len(own) - 49):
+            if tuple(own[at : at + 50]) in seen:
+                repeated += 1
+                lost += [(i, p) for p in range(at, at + 50) if p not in covered.get(i, ())]
+        for key in _runs(text):
+            seen.setdefault(key, i)
+    return lost, repeated
+
+
+def test_passage_behind_pieces_in_first_and_middle_documents(spark):
+    """Two documents share 80 words; 16 older ones and 16 between them hold overlapping pieces of 20."""
+    far = _text(51, 80).split()
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(60))
+    rows = [(k, " ".join(far[4 * (k % 16) : 4 * (k % 16) + 20]) + " " + own(k)) for k in [*range(16), *range(200, 216)]]
+    rows += [(k, f"{own(k)} {' '.join(far)}") for k in (100, 300)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (300, 100, 60, 140) in {(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in found}
+
+
+def test_no_verbatim_run_is_lost(spark):
+    """Random documents of pieces of 10 to 49 words and some longer ones, cut from the same few texts."""
+    r = random.Random(6)
+    pools = [_text(60 + k, 160).split() for k in range(3)]
+    rows = []
+    for k in range(400):
+        parts = []
+        for n in range(r.randint(1, 4)):
+            pool, size = r.choice(pools), r.choice([10, 20, 30, 42, 45, 48, 49, 49, 50, 52, 60, 90])
+            at = r.randrange(len(pool) - size)
+            parts += [*pool[at : at + size], *(f"own{k}x{n}x{i}" for i in range(r.randint(0, 30)))]
+        rows.append((k, " ".join(parts)))
+    lost, repeated = _lost(spark, rows)
+    assert repeated > 1000 and lost == []
