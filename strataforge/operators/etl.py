@@ -13,9 +13,9 @@ from .keywords import count_of
 TARGET, MOST, OVERLAP, LEAST = 320, 480, 40, 40
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no (from 0), line: every line of every document, cleaned."""
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).select(key, "line_no", clean_line(F.col("raw")).alias("line"))
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *carried: str) -> DataFrame:
+    """key, carried columns, line_no (from 0), line: every line of every document, cleaned."""
+    return docs.select(key, *carried, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).select(key, *carried, "line_no", clean_line(F.col("raw")).alias("line"))
 
 
 def line_pattern(line: Column) -> Column:

@@ -210,10 +210,30 @@ def set_operations(spark, sf):
     return rows.filter("l_returnflag = 'R'").select("l_partkey").subtract(rows.filter("l_discount >= 0.09 and l_returnflag = 'A'").select("l_partkey"))
 
 
-@query("J16_chained_interval", "SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM orders")
+_GAP = 28  # days at least between two doses, and more by the dose itself
+
+
+@query(
+    "J16_chained_interval",
+    f"""WITH RECURSIVE d AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 AS planned, ({_GAP} + o_orderkey % 90)::BIGINT AS gap, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dose FROM orders
+), c AS (SELECT o_orderkey, o_custkey, dose, planned, planned AS given FROM d WHERE dose = 1
+  UNION ALL SELECT d.o_orderkey, d.o_custkey, d.dose, d.planned, greatest(d.planned, c.given + d.gap) FROM c JOIN d ON d.o_custkey = c.o_custkey AND d.dose = c.dose + 1
+) SELECT o_orderkey, dose, (given - planned)::BIGINT AS moved FROM c""",
+)
 def chained_interval(spark, sf):
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "orders").select("o_orderkey", F.last(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")), ignorenulls=True).over(by).alias("since"))
+    """Each dose on its planned day, or as long after the one before as it must be, whose day was moved in the same way.
+
+    The recursion has a closed form: the latest of all days planned so far, each plus the gaps after it, that is
+    a running maximum of planned days less running sums of gaps. So it is two windows, and no loop over doses.
+    """
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    planned = F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000)
+    dose = F.row_number().over(by)
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", planned.alias("planned"), (_GAP + F.col("o_orderkey") % 90).alias("gap"), dose.cast("long").alias("dose"))
+    rows = rows.withColumn("gaps", F.sum(F.when(F.col("dose") > 1, F.col("gap")).otherwise(0)).over(upto))
+    given = F.max(F.col("planned") - F.col("gaps")).over(upto) + F.col("gaps")
+    return rows.select("o_orderkey", "dose", (given - F.col("planned")).cast("long").alias("moved"))
 
 
 @query("J17_longest_name", "WITH n(name, code) AS (VALUES ('the', 'a'), ('there', 'b'), ('therein', 'c'), ('eau', 'd'), ('sch', 'e'), ('tion', 'f')) SELECT conv_id, turn, arg_max(code, length(name) * 1000 + ascii(code)) AS code FROM conversations JOIN n ON contains(lower(text), name) GROUP BY conv_id, turn HAVING count(*) > 0")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTED, PLAIN, fold, tokens
+from ..operators.variants import find_first, priced
+from ..sources.sinks import manifest, read_lines, write_document_files, write_export
 from ..sources.tables import table
 from ..streaming.jobs import shared_folder
 from .registry import query
@@ -73,11 +75,31 @@ def catalogue_filter(spark, sf):
     return table(spark, sf, "documents").filter(F.col("lang").isin("en", "fr") & F.col("source").rlike("^src1[0-9]?$")).select("doc_id", "source", "lang")
 
 
-@query("X22_keys_in_untyped_json", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN CAST(user_id AS VARCHAR) END AS price FROM events")
+_SHAPES = ['{"a":{"b":[1,{"c":%s}],"k2":"k"}}', '[[],{"note":"k: 5","z":[[%s]]},{"k":7}]', '{"k":null,"sub":{"k":"","x":%s},"k_":3}', '{"text":"\\"k\\": 9"}', '{"deep":{"deep":{"deep":{"deep":%s}}}}', "not json %s"]
+
+
+@query("X22_keys_in_untyped_json", "SELECT event_id, CASE WHEN event_id % 6 NOT IN (3, 5) THEN json_extract_string(props, '$.k') END AS value FROM events")
 def keys_in_json(spark, sf):
-    """The first value of a key at any depth of a document whose shape isn't known."""
-    body = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.struct(F.col("event_id").alias("price")).alias("a")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.struct(F.struct(F.col("user_id").alias("price")).alias("c")).alias("b"), F.col("event_type").alias("kind")))).otherwise(F.to_json(F.struct("event_type")))
-    return table(spark, sf, "events").select("event_id", F.nullif(F.regexp_extract(body, r'"price"\s*:\s*"?([^",}\]]*)', 1), F.lit("")).alias("price"))
+    """The first value of a key in documents whose shape isn't known: the events' own properties, wrapped six ways, some without the key or no JSON at all."""
+    body = F.element_at(F.array(*[F.concat(F.lit(a), F.col("props"), F.lit(z)) if "%s" in shape else F.lit(shape) for shape in _SHAPES for a, _, z in [shape.partition("%s")]]), (F.col("event_id") % len(_SHAPES) + 1).cast("int"))
+    docs = table(spark, sf, "events").select("event_id", body.alias("body"))
+    found = find_first(docs, "event_id", "body", ["k"])
+    return docs.select("event_id").join(found, "event_id", "left")
+
+
+@query(
+    "X22_price_of_job",
+    "WITH o AS (SELECT p_brand AS name, min(p_retailprice) AS price FROM part GROUP BY p_brand) SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 < 3 THEN (SELECT price FROM o WHERE name = 'Brand#' || (1 + o_custkey % 9)) END, (SELECT min(price) FROM o)) AS price FROM orders",
+)
+def price_of_job(spark, sf):
+    """Each job at the price of the offer that it names somewhere, under one of several keys; the cheapest if it names none that is known."""
+    name = F.concat(F.lit("Brand#"), (1 + F.col("o_custkey") % 9).cast("string"))
+    shape = F.col("o_orderkey") % 4
+    body = F.when(shape == 0, F.to_json(F.struct(F.struct(F.struct(name.alias("offeringId")).alias("b")).alias("a")))).when(shape == 1, F.to_json(F.struct(F.array(F.lit("x"), F.lit("service")).alias("list"), F.array(F.struct(name.alias("Service"))).alias("z"))))
+    body = body.when(shape == 2, F.to_json(F.struct(F.lit("service").alias("kind"), F.struct(name.alias("offering")).alias("job")))).otherwise(F.to_json(F.struct(F.lit("offering: Brand#1").alias("note"))))
+    jobs = table(spark, sf, "orders").select("o_orderkey", body.alias("body"))
+    offers = table(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_retailprice").alias("price"))
+    return priced(jobs, "o_orderkey", offers, find_first(jobs, "o_orderkey", "body", ["offeringid", "offering", "service"]))
 
 
 @query("Y5_faq_extraction", r"SELECT page_id, pos, trim(regexp_replace(regexp_replace(split_part(part, '</b>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS question, trim(regexp_replace(regexp_replace(split_part(part, '</b>', 2), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT page_id, string_split(html, '<b>') AS p FROM pages)) WHERE pos > 0 AND trim(regexp_replace(regexp_replace(split_part(part, '</b>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''")
@@ -118,22 +140,22 @@ def hysteresis(spark, sf):
     return runs.withColumn("streak", streak).filter("bad and streak >= 3 and (streak - 3) % 6 = 0").select(F.date_format("h", "yyyy-MM-dd HH").alias("hour"), "streak")
 
 
-@query("S9_jsonl_sink", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("S9_jsonl_sink", "SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id")
 def jsonl_sink(spark, sf):
-    """Documents as JSON lines in a folder a source, and what is read back from them."""
+    """A file of JSON lines for each document, committed together, and what is read back from them."""
     path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
-    table(spark, sf, "documents").filter("text is not null").select("doc_id", "text", "lang", "source").write.partitionBy("source").json(path)
-    back = spark.read.schema("doc_id long, text string, lang string, source string").json(path)
-    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    write_document_files(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path, "doc_id")
+    back = read_lines(spark, path, "doc_id long, text string, lang string, source string")
+    return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("S17_sorted_export", "SELECT doc_id, lang, source, row_number() OVER (ORDER BY source, doc_id) AS line FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL")
+@query("S17_sorted_export", "SELECT doc_id, lang, source, row_number() OVER (ORDER BY source, doc_id) AS line, count(*) OVER (PARTITION BY source) AS of_source FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL")
 def sorted_export(spark, sf):
-    """The catalogue as CSV files in order, and each entry's line over all files, read back: partitions are ranges of the order, and their sizes give each one's first line."""
+    """The catalogue as CSV and JSON in order, with its counts in the same commit; each entry's line over all files, read back with the counts."""
     path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
-    rows = table(spark, sf, "documents").filter("source is not null and doc_id is not null").select("doc_id", "lang", "source").repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
-    rows.withColumn("at", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("at", 33), "own": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("at").write.option("header", True).csv(path)
-    back = spark.read.schema("doc_id long, lang string, source string, part long, own long").option("header", True).csv(path)
-    sizes = back.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
-    return back.join(first, "part").select("doc_id", "lang", "source", (F.col("before") + F.col("own") + 1).alias("line"))
+    rows = table(spark, sf, "documents").filter("source is not null and doc_id is not null").select("source", "doc_id", "lang")
+    write_export(rows, path, ["source", "doc_id"], ["source", "lang"])
+    back = read_lines(spark, path, "source string, doc_id long, lang string")
+    own = F.row_number().over(Window.partitionBy("before").orderBy("source", "doc_id"))  # a part is one task's rows
+    counts = spark.createDataFrame(list(manifest(path)["counts"].get("source", {}).items()), "source string, of_source long")
+    return back.select("doc_id", "lang", "source", (F.col("before") + own).cast("long").alias("line")).join(counts, "source")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import search_terms, tokens
 from ..operators import etl as E
+from ..operators import scripts
 from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
@@ -33,10 +33,16 @@ def flattened(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(flat, 256).alias("flat"))
 
 
-@query("N7_doubled_vowels")
+@query("N7_doubled_vowels", f"SELECT doc_id, sha256({scripts.fold_hindi_sql('text')}) AS hash FROM documents")
 def doubled_vowels(spark, sf):
-    """Doubled vowels become one; the pattern refers back, which the SQL twin's engine lacks, so a test holds it."""
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace(F.lower("text"), r"([aeiou])\1+", "$1"), 256).alias("hash"))
+    """Doubled vowels as one, as Hindi is typed on a Latin keyboard; the SQL has a replacement for each vowel."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(scripts.fold_hindi(F.col("text")), 256).alias("hash"))
+
+
+@query("N7_arabizi", f"SELECT doc_id, sha256({scripts.fold_arabic_sql('text')}) AS hash FROM documents")
+def arabizi(spark, sf):
+    """Arabic, in its own letters or typed with digits: what differs from hand to hand is folded."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(scripts.fold_arabic(F.col("text")), 256).alias("hash"))
 
 
 @query("N12_hyphens_and_points", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[‐-―-]', ' ', 'g'), '([0-9])\.([0-9])', '\1,\2', 'g')) AS hash FROM documents")
@@ -54,27 +60,10 @@ def stray_words(spark, sf):
 
 @query("C15_romanise")
 def romanised(spark, sf):
-    """Devanagari letters of a text as Latin ones; consonants carry a vowel unless a sign or a stop follows. Digits stand in here."""
-    consonants, vowels, signs = dict(zip("कगतनपमरलस", ["k", "g", "t", "n", "p", "m", "r", "l", "s"])), dict(zip("अआइउए", "aaiue")), dict(zip("ािुे", "aiue"))
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out = []
-        for i, c in enumerate(text):
-            after = text[i + 1] if i + 1 < len(text) else ""
-            if c in consonants:
-                out.append(consonants[c] + ("" if after in signs or after == "्" or not after.strip() else "a"))
-            elif c != "्":
-                out.append(vowels.get(c) or signs.get(c) or c)
-        return "".join(out)
-
-    @F.pandas_udf("string")
-    def romanise(rows: pd.Series) -> pd.Series:
-        return rows.map(one)
-
-    letters = F.translate(F.col("page_id").cast("string"), "0123456789", "कगतनपमरलसअ")
-    return table(spark, sf, "pages").select("page_id", romanise(letters).alias("latin"))
+    """Whole texts in Devanagari as Latin letters. This corpus has none, so texts are spelled in it first, letter by letter; a test holds the reader against a scanner."""
+    spelled = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ाबचदेफगहिजकलमनोपखरसतुवयषीझ")
+    rows = scripts.with_romanised(table(spark, sf, "documents").select("doc_id", spelled.alias("t")), "t", "latin")
+    return rows.select("doc_id", F.length("latin").cast("long").alias("length"), F.sha2("latin", 256).alias("hash"))
 
 
 @query(
