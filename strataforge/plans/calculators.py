@@ -40,13 +40,7 @@ def strength_parse(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(C.strength(text), 6).alias("per_ml"))
 
 
-def _interp_sql(x: str, column: int) -> str:
-    parts = [f"WHEN {x} = {float(L.LMS[0][0])} THEN {L.LMS[0][column]}::DOUBLE"]
-    for lo, hi in zip(L.LMS, L.LMS[1:]):
-        parts.append(f"WHEN {x} > {float(lo[0])} AND {x} <= {float(hi[0])} THEN {lo[column]}::DOUBLE + ({x} - {float(lo[0])}::DOUBLE) / {float(hi[0] - lo[0])}::DOUBLE * ({hi[column]}::DOUBLE - {lo[column]}::DOUBLE)")
-    return "CASE " + " ".join(parts) + " END"
-
-
+_interp_sql = lambda x, column: L.interpolated_sql(x, L.LMS, column)
 _LMS = f"WITH x AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice / 200 AS y FROM part), t AS (SELECT *, {_interp_sql('x', 1)} AS l, {_interp_sql('x', 2)} AS m, {_interp_sql('x', 3)} AS s FROM x), z AS (SELECT *, CASE WHEN abs(l) < 1e-9 THEN ln(y / m) / s ELSE (pow(y / m, l) - 1) / (l * s) END AS z FROM t)"
 
 
@@ -81,11 +75,17 @@ def bands(spark, sf):
     return rows.select("p_partkey", "bz", F.round(C.lms_value(F.col("bz"), F.col("l"), F.col("m"), F.col("s")), 5).alias("value"))
 
 
-@query("F7_extreme_note", _LMS + " SELECT p_brand, round(max(greatest(z, z * 0.9)), 5) AS most, round(min(least(z, z * 0.9)), 5) AS least FROM z JOIN part USING (p_partkey) GROUP BY p_brand")
+_BOTH_SEXES = ", ".join(f"(pow(kg / {L.interpolated_sql('age', rows, 2)}, {L.interpolated_sql('age', rows, 1)}) - 1) / ({L.interpolated_sql('age', rows, 1)} * {L.interpolated_sql('age', rows, 3)}) AS z_{sex}" for sex, rows in L.GROWTH.items())
+
+
+@query("F7_extreme_note", f"SELECT p_partkey, round(greatest(z_boy, z_girl), 5) AS most, round(least(z_boy, z_girl), 5) AS least, CASE WHEN greatest(z_boy, z_girl) < -3 THEN 'too light for either' WHEN least(z_boy, z_girl) > 3 THEN 'too heavy for either' END AS note FROM (SELECT p_partkey, {_BOTH_SEXES} FROM (SELECT p_partkey, p_size::DOUBLE AS age, p_retailprice / 80 AS kg FROM part))")
 def extreme_note(spark, sf):
-    rows = _lms_rows(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey")
-    z = F.col("z")
-    return rows.groupBy("p_brand").agg(F.round(F.max(F.greatest(z, z * 0.9)), 5).alias("most"), F.round(F.min(F.least(z, z * 0.9)), 5).alias("least"))
+    """A weight is noted if it is extreme by both sexes' tables, so that an unknown sex makes no difference."""
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("age"), (F.col("p_retailprice") / 80).alias("kg"))
+    both = [L.growth_z(F.lit(sex), F.col("age"), F.col("kg")) for sex in L.GROWTH]
+    most, least = F.greatest(*both), F.least(*both)
+    note = F.when(most < -3, "too light for either").when(least > 3, "too heavy for either")
+    return rows.select("p_partkey", F.round(most, 5).alias("most"), F.round(least, 5).alias("least"), note.alias("note"))
 
 
 @query("F8_arm_band", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 80 NOT BETWEEN 6 AND 59 THEN 'wrong_age' WHEN l_quantity * 5 NOT BETWEEN 70 AND 250 THEN 'odd' WHEN l_quantity * 5 < 115 THEN 'severe' WHEN l_quantity * 5 < 125 THEN 'moderate' ELSE 'ok' END AS band FROM lineitem")

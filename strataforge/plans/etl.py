@@ -267,28 +267,39 @@ def prefix_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(F.filter(asked, lambda p: F.exists(words, lambda w: w.startswith(p)))).cast("long").alias("matched"))
 
 
-_MARK = {"en": ["the", "and", "of", "was"], "fr": ["le", "la", "les", "et"], "de": ["der", "die", "und", "das"], "es": ["el", "los", "y", "por"]}
+# Frequent words by language, and the scripts that decide by themselves.
+_MARK = {
+    "en": ["the", "and", "of", "was", "that", "with", "for", "is", "to", "he", "she", "my"], "fr": ["le", "la", "les", "et", "des", "une", "du", "que", "pour", "est", "dans", "mon"],
+    "de": ["der", "die", "und", "das", "nicht", "ist", "ein", "eine", "mit", "für", "den", "mein"], "es": ["el", "los", "y", "por", "las", "una", "del", "para", "con", "su", "mi", "se"],
+}
+_SCRIPTS = {"ru": r"\p{Cyrillic}", "ar": r"\p{Arabic}", "hi": r"\p{Devanagari}"}
+_JAVA_SCRIPTS = {"ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}"}
 
 
 def _marks_sql(lang: str) -> str:
     return f"len(list_filter(t, lambda w: list_contains([{', '.join(repr(m) for m in _MARK[lang])}], w)))"
 
 
+def _script_sql(lang: str) -> str:
+    return rf"2 * length(regexp_replace(text, '[^{_SCRIPTS[lang]}]|[^\p{{L}}]', '', 'g')) > length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))"
+
+
+_CHOOSE = "WHEN es > en AND es >= fr AND es >= de THEN 'es' WHEN fr > en AND fr >= de THEN 'fr' WHEN de > en THEN 'de' ELSE 'en'"
+
+
 @query(
     "N8_detect_language",
-    "WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS t FROM documents), c AS (SELECT doc_id, lang, " + ", ".join(f"{_marks_sql(k)} AS {k}" for k in _MARK) + " FROM t) SELECT doc_id, CASE WHEN es > en AND es >= fr AND es >= de THEN 'es' WHEN fr > en AND fr >= de THEN 'fr' WHEN de > en THEN 'de' ELSE 'en' END AS detected FROM c",
+    f"WITH t AS (SELECT *, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS t FROM documents), c AS (SELECT *, {', '.join(f'{_marks_sql(k)} AS {k}' for k in _MARK)} FROM t) "
+    f"SELECT doc_id, CASE {' '.join(f'WHEN {_script_sql(k)} THEN {chr(39)}{k}{chr(39)}' for k in _SCRIPTS)} {_CHOOSE} END AS detected, lang FROM c",
 )
 def detect_language(spark, sf):
-    """Marker words by language with fixed tie rules."""
-    words = tokens(F.lower("text"))
-    rows = table(spark, sf, "documents").select("doc_id", words.alias("t"))
-
-    def marks(words: list[str]):
-        return F.size(F.filter("t", lambda w: w.isin(*words)))
-
-    n = {lang: marks(words) for lang, words in _MARK.items()}
-    found = F.when((n["es"] > n["en"]) & (n["es"] >= n["fr"]) & (n["es"] >= n["de"]), "es").when((n["fr"] > n["en"]) & (n["fr"] >= n["de"]), "fr").when(n["de"] > n["en"], "de").otherwise("en")
-    return rows.select("doc_id", found.alias("detected"))
+    """A script that more than half of the letters are of decides; else marker words by language with fixed tie rules. The given language is beside it."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text", tokens(F.lower("text")).alias("t"))
+    n = {lang: F.size(F.filter("t", lambda w: w.isin(*words))) for lang, words in _MARK.items()}  # noqa: B023
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    by_script = F.coalesce(*[F.when(2 * F.length(F.regexp_replace("text", rf"[^{p}]|[^\p{{L}}]", "")) > letters, F.lit(lang)) for lang, p in _JAVA_SCRIPTS.items()])
+    by_words = F.when((n["es"] > n["en"]) & (n["es"] >= n["fr"]) & (n["es"] >= n["de"]), "es").when((n["fr"] > n["en"]) & (n["fr"] >= n["de"]), "fr").when(n["de"] > n["en"], "de").otherwise("en")
+    return rows.select("doc_id", F.coalesce(by_script, by_words).alias("detected"), "lang")
 
 
 @query("N9_latin_share", r"SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) / greatest(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 1), 6) AS part FROM documents")

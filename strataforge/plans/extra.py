@@ -61,12 +61,23 @@ def first_name(spark, sf):
     return words.join(names, "term").groupBy("doc_id").agg(F.min_by("term", "pos").alias("first"), F.count(F.lit(1)).alias("named"))
 
 
-@query("X11_pending_topics", "SELECT p_brand AS topic FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_discount >= 0.1 GROUP BY p_brand HAVING count(*) > 100)")
+_SAME_SUBJECT = [("Brand#1", "Brand#2"), ("Brand#3", "Brand#4"), ("Brand#4", "Brand#5"), ("Brand#7", "Brand#9")]  # pairs of topics on one subject
+_PUBLISHED_SQL = "SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_discount >= 0.09 AND p_size < 4 GROUP BY p_brand HAVING count(*) >= 3"
+
+
+@query(
+    "X11_pending_topics",
+    f"""WITH p(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _SAME_SUBJECT)}), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), done AS ({_PUBLISHED_SQL}
+) SELECT DISTINCT p_brand AS topic FROM part WHERE p_brand NOT IN (SELECT p_brand FROM done) AND p_brand NOT IN (SELECT s.a FROM s JOIN done ON s.b = done.p_brand)""",
+)
 def pending_topics(spark, sf):
-    """Planned topics without enough that is published on them."""
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    done = table(spark, sf, "lineitem").filter("l_discount >= 0.1").groupBy("l_partkey").count().join(part, "l_partkey").groupBy("p_brand").agg(F.sum("count").alias("n")).filter("n > 100")
-    return part.select("p_brand").distinct().join(done, "p_brand", "left_anti").select(F.col("p_brand").alias("topic"))
+    """The plan less what is published and less what speaks of the same subject as something published (one pair away)."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    lines = table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.09").groupBy("l_partkey").count()
+    done = lines.join(part.filter("p_size < 4"), "l_partkey").groupBy(F.col("p_brand").alias("topic")).agg(F.sum("count").alias("n")).filter("n >= 3").select("topic")
+    pairs = spark.createDataFrame([p for a, b in _SAME_SUBJECT for p in ((a, b), (b, a))], "topic string, other string")
+    siblings = pairs.join(done.withColumnRenamed("topic", "other"), "other", "left_semi").select("topic")
+    return part.select(F.col("p_brand").alias("topic")).distinct().join(done.unionByName(siblings).distinct(), "topic", "left_anti")
 
 
 @query("X18_catalogue_filter", "SELECT doc_id, source, lang FROM documents WHERE regexp_matches(source, '^src1[0-9]?$') AND lang IN ('en', 'fr')")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.calculators import percentile
 from ..functions.text import search_terms, tokens
 from ..operators import etl as E
-from ..operators import scripts
+from ..operators import lookups as L
+from ..operators import router, scripts
 from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
@@ -214,11 +216,24 @@ def style_guards(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.regexp_count(text, F.lit("src[0-9]+")) > 2).alias("names_source"), text.rlike("all rights reserved|copyright").alias("talks_about_rights"))
 
 
-@query("T15_intents", r"SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '[0-9]+ ?(?:kg|mg)') THEN 'dose' END, CASE WHEN contains(text, '?') THEN 'question' END, CASE WHEN length(text) < 40 THEN 'short' END], lambda x: x IS NOT NULL), ',') AS intents FROM conversations")
+_TERMS_SQL = f"len(list_distinct(list_filter({_TOK % (_FOLD % 'text')}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w))))"
+_ROUTED_SQL = router.routed_sql("conversations", "text", _TERMS_SQL)
+
+
+def _routed(spark, sf):
+    return router.routed(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "text", F.size(search_terms(F.col("text"))))
+
+
+@query("T15_intents", f"SELECT conv_id, turn, array_to_string(intents, ',') AS intents FROM ({_ROUTED_SQL})")
 def intents(spark, sf):
-    text = F.col("text")
-    found = F.array_compact(F.array(F.when(F.lower(text).rlike("[0-9]+ ?(?:kg|mg)"), F.lit("dose")), F.when(text.contains("?"), F.lit("question")), F.when(F.length(text) < 40, F.lit("short"))))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("intents"))
+    """Which of eight intents each turn has, by keyword tables in five languages and numbers."""
+    return _routed(spark, sf).select("conv_id", "turn", F.array_join("intents", ",").alias("intents"))
+
+
+@query("T16_router", f"SELECT role, outcome, count(*) AS n FROM ({_ROUTED_SQL}) GROUP BY ALL")
+def outcomes(spark, sf):
+    """The first of sixteen outcomes that fits each turn, counted by role."""
+    return _routed(spark, sf).groupBy("role", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("T17_disagreement_notes", "SELECT doc_id, toxic = 1 OR contains(lower(text), 'rights') AS noted FROM documents JOIN labels USING (doc_id)")
@@ -241,10 +256,27 @@ def forward_exclusion(spark, sf):
     return rows.withColumn("ahead", ahead).filter("event_type = 'click' and ahead is null").select("event_id")
 
 
-@query("X5_growth_series", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS visit, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS gain FROM orders")
+_AGE_SQL = "date_diff('day', date_trunc('day', min(o_orderdate) OVER (PARTITION BY o_custkey)), date_trunc('day', o_orderdate)) / 30.4375::DOUBLE"
+
+
+@query(
+    "X5_growth_series",
+    f"""WITH x AS (SELECT o_orderkey, o_custkey, {_AGE_SQL} AS age, o_totalprice / 40000 AS kg, CASE o_custkey % 3 WHEN 0 THEN 'boy' WHEN 1 THEN 'girl' END AS sex FROM orders
+), t AS (SELECT *, CASE sex {' '.join(f"WHEN '{sex}' THEN {L.interpolated_sql('age', rows, 1)}" for sex, rows in L.GROWTH.items())} END AS l, CASE sex {' '.join(f"WHEN '{sex}' THEN {L.interpolated_sql('age', rows, 2)}" for sex, rows in L.GROWTH.items())} END AS m, CASE sex {' '.join(f"WHEN '{sex}' THEN {L.interpolated_sql('age', rows, 3)}" for sex, rows in L.GROWTH.items())} END AS s FROM x
+), z AS (SELECT *, (pow(kg / m, l) - 1) / (l * s) AS z FROM t), e AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x2, 1 / (1 + 0.3275911 * (abs(z) / sqrt(2.0::DOUBLE))) AS t2 FROM z)
+SELECT o_orderkey, round(age, 4) AS age_months, round(50 * (1 + sign(z) * (1 - t2 * (0.254829592 + t2 * (-0.284496736 + t2 * (1.421413741 + t2 * (-1.453152027 + t2 * 1.061405429)))) * exp(-x2 * x2))), 3) AS percentile FROM e""",
+)
 def growth_series(spark, sf):
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(by).cast("long").alias("visit"), F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(by), 2).alias("gain"))
+    """Each stored measurement's percentile at the age of that day, by the child's own table; none without a sex or outside the table's ages.
+
+    The first visit stands in for the birth, a price for a weight.
+    """
+    born = F.min("o_orderdate").over(Window.partitionBy("o_custkey"))
+    age = F.datediff(F.to_date("o_orderdate"), F.to_date(born)) / 30.4375
+    sex = F.when(F.col("o_custkey") % 3 == 0, "boy").when(F.col("o_custkey") % 3 == 1, "girl")
+    rows = table(spark, sf, "orders").select("o_orderkey", age.alias("age"), (F.col("o_totalprice") / 40000).alias("kg"), sex.alias("sex"))
+    z = L.growth_z(F.col("sex"), F.col("age"), F.col("kg"))
+    return rows.select("o_orderkey", F.round("age", 4).alias("age_months"), F.round(percentile(z), 3).alias("percentile"))
 
 
 @query("X9_owner_guard", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey AND l_partkey % 25 = s_nationkey")

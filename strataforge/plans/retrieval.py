@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.text import ACCENTED, PLAIN, STOP_WORDS, fold, search_terms, tokens
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators.etl import most_hits
+from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
 
@@ -268,19 +270,73 @@ def prefix_match(spark, sf):
     return each.filter(term.startswith("thor") | term.startswith("eau") | term.startswith("sch")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("term").alias("terms"))
 
 
+# Rows of a synonym table in words of our own: language, trigger (a prefix; two words are a phrase, ``$`` asks for the whole word), term that is added.
+SYNONYMS = [
+    ("en", "tion", "action"), ("en", "the$", "article"), ("en", "that the", "clause"), ("en", "wh", "question"), ("en", "fever", "temperature"), ("en", "tummy", "abdomen"),
+    ("fr", "eau", "water"), ("fr", "que la", "clause"), ("fr", "fièvre", "temperature"), ("de", "sch", "sound"), ("de", "und$", "article"), ("de", "fieber", "temperature"), ("de", "bauch", "abdomen"),
+    ("es", "cion", "action"), ("es", "ción", "action"), ("es", "los$", "article"), ("es", "fiebre", "temperature"), ("es", "barriga", "abdomen"),
+]
+_ADDED = list(dict.fromkeys(term for *_, term in SYNONYMS))
+
+
+def _added_sql(term: str) -> str:
+    return f"CASE WHEN regexp_matches(lower(text), '{pattern_of([t for _, t, a in SYNONYMS if a == term])}') THEN '{term}' END"
+
+
+_EXPANDED_SQL = f"list_sort(list_filter([{', '.join(map(_added_sql, _ADDED))}], lambda x: x IS NOT NULL))"
+
+
+def expanded(rows: DataFrame) -> DataFrame:
+    """``rows`` with added, the terms whose triggers stand in their text, in order: the table's triggers are one automaton."""
+    found = with_matches(rows.withColumn("lowered", F.lower("text")), "lowered", [(added, trigger) for _, trigger, added in SYNONYMS])
+    return found.withColumn("added", F.array_sort(labels_of())).drop("lowered", "matches")
+
+
+@query("R8_synonym_expansion", f"SELECT conv_id, turn, array_to_string({_EXPANDED_SQL}, ' ') AS added FROM conversations WHERE role = 'user' AND len({_EXPANDED_SQL}) > 0")
+def synonym_expansion(spark, sf):
+    """Terms that a synonym table adds to each question."""
+    asked = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    return expanded(asked).filter(F.size("added") > 0).select("conv_id", "turn", F.array_join("added", " ").alias("added"))
+
+
+# Rows of a topic table that sees a question and what was added to it.
+TOPICS = {"words": ["article$", "clause$", "question$"], "deeds": ["action$", "tion"], "nature": ["water$", "eau", "mer$"], "body": ["temperature$", "abdomen$", "sound$"]}
+
+
 @query(
-    "R8_synonym_expansion",
-    f"""WITH s(lang, trigger, add) AS (VALUES ('en', 'tion', 'action'), ('en', 'the', 'article'), ('fr', 'eau', 'water'), ('de', 'sch', 'sound'), ('es', 'cion', 'action')
-), q AS (SELECT conv_id, turn, unnest({_TOK % (_FOLD % 'text')}) AS term FROM conversations WHERE role = 'user'
-) SELECT conv_id, turn, string_agg(DISTINCT add, ' ' ORDER BY add) AS added, count(*) AS triggers FROM q JOIN s ON starts_with(term, trigger) GROUP BY conv_id, turn""",
+    "R10_topic_of_expanded",
+    f"WITH q AS (SELECT item_id, regexp_replace(lower(text) || ' ' || array_to_string({_EXPANDED_SQL}, ' '), '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1\\1', 'g') AS q FROM benchmark), c AS (SELECT item_id, {', '.join(f'len(regexp_extract_all(q, {chr(39)}{pattern_of(k)}{chr(39)})) AS {t}' for t, k in TOPICS.items())} FROM q) "
+    f"SELECT item_id, CASE WHEN greatest({', '.join(TOPICS)}) = 0 THEN NULL {' '.join(f'WHEN {t} = greatest({chr(44).join(TOPICS)}) THEN {chr(39)}{t}{chr(39)}' for t in TOPICS)} END AS topic FROM c",
 )
-def synonym_expansion(spark, sf):
-    """Terms that a small table of prefixes adds to each question: the triggers are tested where the words are, without a join."""
-    rows = [("tion", "action"), ("the", "article"), ("eau", "water"), ("sch", "sound"), ("cion", "action")]
-    asked = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.explode(tokens(fold(F.col("text")))).alias("term"))
-    added = F.explode(F.array_compact(F.array(*[F.when(F.col("term").startswith(t), F.lit(a)) for t, a in rows])))
-    each = asked.select("conv_id", "turn", added.alias("add"))
-    return each.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_set("add")), " ").alias("added"), F.count(F.lit(1)).alias("triggers"))
+def topic_of_expanded(spark, sf):
+    """The topic of a question with its expansion: most keyword hits, the first of the table on ties."""
+    rows = expanded(table(spark, sf, "benchmark").select("item_id", "text"))
+    whole = rows.select("item_id", F.concat(F.lower("text"), F.lit(" "), F.array_join("added", " ")).alias("q"))
+    return with_matches(whole, "q", [(t, k) for t, words in TOPICS.items() for k in words]).select("item_id", most_hits("matches", list(TOPICS)).alias("topic"))
+
+
+@query(
+    "R15_english_first",
+    _BASE
+    + """, good AS (SELECT item_id, doc_id, rank FROM hits WHERE rank <= 6 AND matched >= 3
+), own AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN documents USING (doc_id) WHERE lang = 'en' AND matched >= 3 QUALIFY rank <= 6
+), enough AS (SELECT item_id FROM own GROUP BY item_id HAVING count(*) >= 2
+), joint AS (SELECT item_id, doc_id, 0 AS later, rank FROM own WHERE item_id IN (SELECT item_id FROM enough)
+  UNION ALL SELECT item_id, doc_id, 1, rank FROM good g WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.item_id = g.item_id AND o.doc_id = g.doc_id AND o.item_id IN (SELECT item_id FROM enough))
+), sizes AS (SELECT item_id, greatest(coalesce(g, 0), coalesce(o, 0)) AS most FROM (SELECT item_id, count(*) AS g FROM good GROUP BY item_id) FULL JOIN (SELECT item_id, count(*) AS o FROM own WHERE item_id IN (SELECT item_id FROM enough) GROUP BY item_id) USING (item_id)
+) SELECT item_id, doc_id, place FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY later, rank) AS place FROM joint) JOIN sizes USING (item_id) WHERE place <= most""",
+)
+def english_first(spark, sf):
+    """A second search in English only: if it brings two documents or more, they come first and the others after them, as many as the longer list has."""
+    langs = table(spark, sf, "documents").select("doc_id", "lang")
+    good = hits(spark, sf, 6).filter("matched >= 3").select("item_id", "doc_id", "rank")
+    own = R.best(scored(spark, sf).filter("matched >= 3").join(langs.filter("lang = 'en'"), "doc_id", "left_semi"), "item_id", "doc_id", 6).select("item_id", "doc_id", "rank")
+    own = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).filter("n >= 2")
+    rest = good.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).join(own.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    both = own.withColumn("later", F.lit(0)).unionByName(rest.withColumn("later", F.lit(1)))
+    by = Window.partitionBy("item_id")
+    placed = both.withColumns({"place": F.row_number().over(by.orderBy("later", "rank")).cast("long"), "most": F.max("n").over(by)})
+    return placed.filter("place <= most").select("item_id", "doc_id", "place")
 
 
 @query(

@@ -152,17 +152,6 @@ def structure_checks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.size(F.split("text", "\n")) >= 3).alias("has_paragraphs"), (F.regexp_count("text", F.lit("[.]")) >= 5).alias("has_sentences"), (~F.col("text").contains("All rights reserved")).alias("clean"))
 
 
-_ROUTE = "CASE WHEN text IS NULL OR length(text) < 20 THEN 'clarify' WHEN contains(text, '?') THEN 'question' WHEN regexp_matches(lower(text), '[0-9]') THEN 'calculator' WHEN role = 'system' THEN 'about' WHEN length(text) > 600 THEN 'drafted' ELSE 'no_source' END"
-
-
-@query("T16_router", f"SELECT role, {_ROUTE} AS outcome, count(*) AS n FROM conversations GROUP BY ALL")
-def router(spark, sf):
-    """The first outcome that fits, counted by role."""
-    text = F.col("text")
-    outcome = F.when(text.isNull() | (F.length(text) < 20), "clarify").when(text.contains("?"), "question").when(text.rlike("[0-9]"), "calculator").when(F.col("role") == "system", "about").when(F.length(text) > 600, "drafted").otherwise("no_source")
-    return table(spark, sf, "conversations").groupBy("role", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("T19_number_drift", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) SELECT doc_id, line_no, regexp_extract(line, '([0-9]{2,})', 1) AS number FROM l WHERE regexp_matches(line, '[0-9]{2,}') AND regexp_extract(line, '([0-9]{2,})', 1) <> (doc_id % 100)::VARCHAR")
 def number_drift(spark, sf):
     """Lines whose first number differs from the computed truth."""
