@@ -81,7 +81,7 @@ def test_chains_and_alignment():
 
     assert passages.common(a, b) == lcs(a, b)
     text = pa.array([" ".join(map(str, a)), " ".join(map(str, b))])
-    key, doc, place, again = passages.minimizers(text)
+    key, doc, place, again = passages.minimizers(*words.hashes(text))
     mine = {k: p for k, d, p in zip(key, doc, place) if d == 0}
     pairs = [(mine[k], p) for k, d, p in zip(key, doc, place) if d == 1 and k in mine]
     parts = passages.fragments(np.array([p for p, _ in pairs]), np.array([p for _, p in pairs]))
