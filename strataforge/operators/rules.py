@@ -12,12 +12,10 @@ replacements in the whole text (:func:`left_of`, for columns and SQL). Tests hol
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -313,15 +311,28 @@ def level_of(names: Column, rules: list[Rule]) -> Column:
     return F.when(F.size(names) == 0, LEVELS[0]).otherwise(levels[F.element_at(names, 1)])
 
 
-def with_converted_units(texts: Column) -> Column:
-    """Texts in which each temperature in Fahrenheit is followed by its Celsius value; every match has a value of its own."""
+_UNIT = r"[0-9]{2,3}(?:\.[0-9])? ?(?:°?F|lbs?|pounds?)\b"
 
-    @F.pandas_udf("string")
-    def rewrite(rows: pd.Series) -> pd.Series:
-        def one(m: re.Match) -> str:
-            c = (float(m[1]) - 32) * 5 / 9
-            return f"{m[0]} ({c:.1f} C)" if 30 <= c <= 45 else m[0]
 
-        return rows.map(lambda t: None if t is None else re.sub(r"(\d{2,3}(?:\.\d)?) ?F\b", one, t))
+def with_converted_units(text: Column) -> Column:
+    """A text in which each temperature in Fahrenheit (of a body: 30 to 45 C) and each weight in pounds (2 to 300) is followed by its metric value.
 
-    return rewrite(texts)
+    The text is cut at the matches; each piece gets its match and what that converts to, and all are joined again.
+    """
+
+    def said(match: Column) -> Column:
+        n = F.regexp_extract(match, "^[0-9.]+", 0).cast("double")
+        celsius = (n - 32) * 5 / 9
+        converted = F.when(match.endswith("F"), F.when(celsius.between(30, 45), F.format_string(" (%.1f C)", celsius))).when(n.between(2, 300), F.format_string(" (%.1f kg)", n * 0.45359237))
+        return F.concat(match, F.coalesce(converted, F.lit("")))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(_UNIT), 0), said)
+    return F.array_join(F.zip_with(F.split(text, _UNIT), found, lambda piece, match: F.concat(piece, F.coalesce(match, F.lit("")))), "")
+
+
+def with_converted_units_sql(text: str) -> str:
+    """:func:`with_converted_units` in DuckDB's SQL."""
+    n = "regexp_extract(x, '^[0-9.]+', 0)::DOUBLE"
+    said = f"list_transform(regexp_extract_all({text}, '{_UNIT}'), lambda x: x || CASE WHEN x LIKE '%F' THEN CASE WHEN ({n} - 32) * 5 / 9 BETWEEN 30 AND 45 THEN format(' ({{:.1f}} C)', ({n} - 32) * 5 / 9) ELSE '' END WHEN {n} BETWEEN 2 AND 300 THEN format(' ({{:.1f}} kg)', {n} * 0.45359237) ELSE '' END)"
+    rest = f"string_split_regex({text}, '{_UNIT}')"
+    return f"array_to_string(list_transform(range(1, len({rest}) + 1), lambda i: {rest}[i] || coalesce({said}[i], '')), '')"

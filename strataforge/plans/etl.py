@@ -176,10 +176,20 @@ def bibliography(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ((marks >= 3) & (marks > 0.02 * word_count(F.col("text")))).alias("is_bibliography"))
 
 
-@query("C12_flags", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:mg|ml|password|api)\b') AS has_dose, regexp_matches(lower(split_part(text, chr(10), 1)), '(?:rights|worthless|trash)') AS red_flag FROM documents")
+# Rows of keyword tables in words of our own.
+_FLAGS = {
+    "dose": ["mg$", "ml$", "dose", "dosage", "dosis", "posologie", "dosierung", "tablet", "tropfen", "gouttes", "gotas", "password", "api$"],
+    "red": ["seek help", "call an ambulance", "danger sign", "warning sign", "notarzt", "warnzeichen", "signes d'alerte", "signos de alarma", "sinais de alarme", "worthless", "trash", "moron", "all rights reserved"],
+}
+
+
+@query("C12_flags", f"SELECT doc_id, regexp_matches(lower(text), '{pattern_of(_FLAGS['dose'])}') AS has_dose, regexp_matches(lower(text), '{pattern_of(_FLAGS['red']).replace(chr(39), chr(39) * 2)}') AS red_flag, regexp_matches(lower(split_part(text, chr(10), 1)), '{pattern_of(_FLAGS['red']).replace(chr(39), chr(39) * 2)}') AS titled FROM documents")
 def flags(spark, sf):
-    first = F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))
-    return table(spark, sf, "documents").select("doc_id", F.lower("text").rlike(r"\b(?:mg|ml|password|api)\b").alias("has_dose"), first.rlike("(?:rights|worthless|trash)").alias("red_flag"))
+    """Whether a text speaks of doses or of alarm signs, and whether its first line does; one automaton, places tell the rest."""
+    rows = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"), F.length(F.split_part(F.lower("text"), F.lit("\n"), F.lit(1))).alias("head"))
+    found = with_matches(rows, "low", _rows(_FLAGS))
+    red = F.filter("matches", lambda m: m["label"] == "red")
+    return found.select("doc_id", F.array_contains(labels_of(), "dose").alias("has_dose"), (F.size(red) > 0).alias("red_flag"), F.exists(red, lambda m: m["start"] < F.col("head")).alias("titled"))
 
 
 _SLUG = f"CASE WHEN regexp_replace(substr(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), '_+$', '') = '' THEN 's' ELSE regexp_replace(substr(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), '_+$', '') END"
@@ -307,11 +317,29 @@ def latin_share(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(share(F.col("text"), "A-Za-zÀ-ÿ"), 6).alias("part"))
 
 
-@query("N10_leak", r"SELECT page_id, list_contains(['fr', 'de', 'es'], l) AND regexp_matches(lower(title), '\b(?:the|and|with)\b') AS leak FROM (SELECT page_id, regexp_extract(html, '(?i)<html[^>]*\blang=\"([a-z-]+)\"', 1) AS l, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)".replace('\\"', '"'))
+# Rows of a marker table: words that stand in one of these languages only.
+_FOREIGN = {
+    "en": ["the$", "and$", "with$", "which$", "that$", "of$"], "fr": ["les$", "des$", "est$", "pour$", "une$", "dans$"],
+    "de": ["der$", "und$", "nicht$", "ist$", "eine$", "mit$"], "es": ["los$", "las$", "una$", "por$", "para$", "del$"],
+}
+_NAME = r"([\p{L}\p{N},;] )\p{Lu}[\p{L}\p{N}]+"
+
+
+def _leak_sql(lang: str) -> str:
+    return f"regexp_matches(t, '{pattern_of([k for other, words in _FOREIGN.items() if other != lang for k in words])}')"
+
+
+@query(
+    "N10_leak",
+    rf"""SELECT page_id, CASE l {' '.join(f"WHEN '{x}' THEN {_leak_sql(x)}" for x in _FOREIGN)} ELSE false END AS leak FROM (SELECT page_id, regexp_extract(html, '(?i)<html[^>]*\blang="([a-z-]+)"', 1) AS l, lower(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_NAME}', '\1', 'g')) AS t FROM pages)""",
+)
 def leak(spark, sf):
-    """Titles of pages in another language that hold an English marker word."""
-    lang, title = F.regexp_extract("html", r'(?i)<html[^>]*\blang="([a-z-]+)"', 1), F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return table(spark, sf, "pages").select("page_id", (lang.isin("fr", "de", "es") & title.rlike(r"\b(?:the|and|with)\b")).alias("leak"))
+    """Titles that hold a marker word of another language than their page's, names (capitals inside a sentence) left out."""
+    lang = F.regexp_extract("html", r'(?i)<html[^>]*\blang="([a-z-]+)"', 1)
+    title = F.lower(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), _NAME, "$1"))
+    rows = with_matches(table(spark, sf, "pages").select("page_id", lang.alias("l"), title.alias("t")), "t", _rows(_FOREIGN))
+    foreign = F.size(F.filter("matches", lambda m: m["label"] != F.col("l"))) > 0
+    return rows.select("page_id", (F.col("l").isin(*_FOREIGN) & foreign).alias("leak"))
 
 
 @query("N11_unify_digits", "SELECT part.p_partkey, translate(translate(p_size::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩'), '٠١٢٣٤٥٦٧٨٩', '0123456789')::INT AS size FROM part")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTED, PLAIN, fold, tokens
+from ..operators.keywords import labels_of, pattern_of, with_matches
+from ..operators.ordering import numbered
 from ..operators.variants import find_first, priced
 from ..sources.sinks import manifest, read_lines, write_document_files, write_export
 from ..sources.tables import table
@@ -32,15 +34,20 @@ def clitic_stem(spark, sf):
     return words.select("doc_id", "w", F.when(F.length(front) >= 3, F.when(F.length(back) >= 3, back).otherwise(front)).otherwise(whole).alias("stem"))
 
 
-_SOOTHES, _ALARM = "(?:do not worry|no need to|nothing serious|harmless|kein grund|rien de grave|no es grave)", "(?:trash|worthless|password|emergency|urgent)"
+# Rows of keyword tables in words of our own: what soothes, and what an alarm is about.
+_CALM = {
+    "soothes": ["do not worry", "don't worry", "no need to", "nothing serious", "harmless", "will pass by itself", "kein grund zur sorge", "nichts schlimmes", "harmlos", "geht von selbst", "rien de grave", "ne vous inquiétez pas", "sans gravité", "no es grave", "no se preocupe", "no te preocupes", "se pasa solo", "não é grave", "não se preocupe"],
+    "alarm": ["emergency", "urgent", "ambulance", "call now", "trash", "worthless", "password", "notfall", "notarzt", "dringend", "urgence", "ambulancia", "urgencia", "emergencia", "emergência"],
+}
+_CALM_SQL = {label: f"regexp_matches(lower(text), {chr(39)}{pattern_of(words).replace(chr(39), chr(39) * 2)}{chr(39)})" for label, words in _CALM.items()}
 
 
-@query("T12_downplays_alarm", f"SELECT conv_id, turn, regexp_matches(lower(text), '{_SOOTHES}') AS soothes, regexp_matches(lower(text), '{_ALARM}') AS alarm, CASE WHEN regexp_matches(lower(text), '{_ALARM}') AND regexp_matches(lower(text), '{_SOOTHES}') THEN 'downplays' WHEN regexp_matches(lower(text), '{_ALARM}') AND length(text) < 40 THEN 'too short' ELSE 'safe' END AS verdict FROM conversations")
+@query("T12_downplays_alarm", f"SELECT conv_id, turn, soothes, alarm, CASE WHEN alarm AND soothes THEN 'downplays' WHEN alarm AND length(text) < 40 THEN 'too short' ELSE 'safe' END AS verdict FROM (SELECT *, {_CALM_SQL['soothes']} AS soothes, {_CALM_SQL['alarm']} AS alarm FROM conversations)")
 def downplays_alarm(spark, sf):
     """An answer that soothes where there is an alarm, or says next to nothing of it, is unsafe."""
-    low = F.lower("text")
-    soothes, alarm = low.rlike(_SOOTHES), low.rlike(_ALARM)
-    return table(spark, sf, "conversations").select("conv_id", "turn", soothes.alias("soothes"), alarm.alias("alarm"), F.when(alarm & soothes, "downplays").when(alarm & (F.length("text") < 40), "too short").otherwise("safe").alias("verdict"))
+    rows = with_matches(table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lower("text").alias("low")), "low", [(x, k) for x, words in _CALM.items() for k in words])
+    soothes, alarm = (F.array_contains(labels_of(), x) for x in _CALM)
+    return rows.select("conv_id", "turn", soothes.alias("soothes"), alarm.alias("alarm"), F.when(alarm & soothes, "downplays").when(alarm & (F.length("text") < 40), "too short").otherwise("safe").alias("verdict"))
 
 
 @query("T18_conditional_terms", "SELECT c_custkey, n_name, CASE WHEN r_name IN ('AFRICA', 'ASIA') AND c_acctbal < 0 THEN 'region and income' WHEN r_name IN ('AFRICA', 'ASIA') THEN 'region' WHEN c_acctbal < 0 THEN 'income' END AS terms FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('AFRICA', 'ASIA') OR c_acctbal < 0")
@@ -113,13 +120,17 @@ def price_of_job(spark, sf):
     return priced(jobs, "o_orderkey", offers, find_first(jobs, "o_orderkey", "body", ["offeringid", "offering", "service"]))
 
 
-@query("Y5_faq_extraction", r"SELECT page_id, pos, trim(regexp_replace(regexp_replace(split_part(part, '</b>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS question, trim(regexp_replace(regexp_replace(split_part(part, '</b>', 2), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT page_id, string_split(html, '<b>') AS p FROM pages)) WHERE pos > 0 AND trim(regexp_replace(regexp_replace(split_part(part, '</b>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''")
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(%s, '<[^>]*>', ' ', 'g'), '\[[0-9]+\]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("Y5_faq_extraction", f"SELECT page_id, pos, {_PLAIN % 'q'} AS question, {_PLAIN % 'a'} AS answer FROM (SELECT page_id, pos, regexp_extract(part, '(?s)^(.*?)(?:</b>|<br>|$)', 1) AS q, regexp_replace(part, '(?s)^.*?(?:</b>|<br>)', '') AS a FROM (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)</h1>(.*?)(?:<footer|$)', 1), '<b>') AS p FROM pages)) WHERE pos > 0) WHERE {_PLAIN % 'q'} <> ''")
 def faq_extraction(spark, sf):
-    """Bold questions of a page with the text up to the next one."""
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"[\t\n\f\r ]+", " "))
-    each = table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", "<b>")).alias("pos", "part")).filter("pos > 0")
-    side = lambda k: plain(F.split_part("part", F.lit("</b>"), F.lit(k)))
-    return each.select("page_id", F.col("pos").cast("long").alias("pos"), side(1).alias("question"), side(2).alias("answer")).filter("question <> ''")
+    """The section after a page's heading, split at its bold questions: each with the text up to the next one, citation marks left out."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\[[0-9]+\]", ""), r"[\t\n\f\r ]+", " "))
+    section = F.regexp_extract("html", r"(?s)</h1>(.*?)(?:<footer|$)", 1)
+    each = table(spark, sf, "pages").select("page_id", F.posexplode(F.split(section, "<b>")).alias("pos", "part")).filter("pos > 0")
+    question, answer = F.regexp_extract("part", r"(?s)^(.*?)(?:</b>|<br>|$)", 1), F.regexp_replace("part", r"(?s)^.*?(?:</b>|<br>)", "")
+    return each.select("page_id", F.col("pos").cast("long").alias("pos"), plain(question).alias("question"), plain(answer).alias("answer")).filter("question <> ''")
 
 
 @query("Y9_locale_sort")
@@ -128,14 +139,13 @@ def locale_sort(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", "n_name", F.row_number().over(Window.orderBy(F.collate("n_name", "de"), "n_nationkey")).alias("place"))  # 25 nations
 
 
-@query("W11_rotation", "SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM (SELECT DISTINCT o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderdate)) JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS j, count(*) OVER () AS n FROM part WHERE p_size = 1) ON j = k % n")
+@query("W11_rotation", "SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM (SELECT o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderdate)) JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS j, count(*) OVER () AS n FROM part) ON j = k % n")
 def rotation(spark, sf):
-    """One item a day, none again before all have been: days are numbered and meet items by the remainder. One row a day is few."""
-    days = table(spark, sf, "orders").groupBy("o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
-    days = days.withColumn("k", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")) - 1)
-    items = table(spark, sf, "part").filter("p_size = 1").select("p_partkey", (F.row_number().over(Window.orderBy("p_partkey")) - 1).alias("j"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    n = items.select("n").limit(1)
-    return days.crossJoin(F.broadcast(n)).withColumn("j", F.col("k") % F.col("n")).join(items.drop("n"), "j").select("o_orderkey", "p_partkey")  # n is one row
+    """One item a day, none again before all have been: days and items are numbered over ranges and meet by the remainder."""
+    days = numbered(table(spark, sf, "orders").groupBy("o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey")), ["o_orderdate", "o_orderkey"], "k")
+    items = table(spark, sf, "part").select("p_partkey")
+    n = items.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return days.crossJoin(F.broadcast(n)).withColumn("j", F.col("k") % F.col("n")).join(numbered(items, ["p_partkey"], "j"), "j").select("o_orderkey", "p_partkey")
 
 
 _HOURLY = "SELECT date_trunc('hour', ts) AS h, count(*) FILTER (event_type = 'purchase') = 0 AS bad FROM events GROUP BY 1"

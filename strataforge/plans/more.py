@@ -210,10 +210,20 @@ def numeric_rule(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ((F.col("l_quantity") >= limit) & F.col("l_quantity").between(20, 120)).alias("fast"))
 
 
-@query("T11_style_guards", r"SELECT doc_id, len(regexp_extract_all(lower(text), 'src[0-9]+')) > 2 AS names_source, regexp_matches(lower(text), 'all rights reserved|copyright') AS talks_about_rights FROM documents")
+# Rows of a keyword table in words of our own: what an answer must not do.
+_STYLE = {
+    "names_service": ["call 999", "call 911", "call 112", "nhs$", "samu$", "notruf 112", "appelez le 15", "llame al 061", "ligue 112"],
+    "denies_number": ["there is no emergency number", "no emergency number", "keine notrufnummer", "pas de numéro d'urgence", "no hay número de emergencias", "não há número de emergência"],
+    "names_source": ["according to", "the guideline says", "laut der leitlinie", "selon la fiche", "según la guía", "segundo a guia", "all rights reserved", "copyright"],
+    "orders_drug": ["give antibiotics", "stop the medicine", "antibiotika geben", "donnez des antibiotiques", "dele antibióticos", "dê antibióticos"],
+}
+
+
+@query("T11_style_guards", f"SELECT doc_id, {', '.join(f'regexp_matches(lower(text), {chr(39)}{pattern_of(words).replace(chr(39), chr(39) * 2)}{chr(39)}) AS {name}' for name, words in _STYLE.items())} FROM documents")
 def style_guards(spark, sf):
-    text = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", (F.regexp_count(text, F.lit("src[0-9]+")) > 2).alias("names_source"), text.rlike("all rights reserved|copyright").alias("talks_about_rights"))
+    """What an answer must not do, by a keyword table: name another country's service, deny that there is a number, talk of its sources, order a drug."""
+    rows = with_matches(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low")), "low", [(name, k) for name, words in _STYLE.items() for k in words])
+    return rows.select("doc_id", *[F.array_contains(labels_of(), name).alias(name) for name in _STYLE])
 
 
 _TERMS_SQL = f"len(list_distinct(list_filter({_TOK % (_FOLD % 'text')}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w))))"
@@ -236,10 +246,21 @@ def outcomes(spark, sf):
     return _routed(spark, sf).groupBy("role", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T17_disagreement_notes", "SELECT doc_id, toxic = 1 OR contains(lower(text), 'rights') AS noted FROM documents JOIN labels USING (doc_id)")
+# Rows of a note table: what a text says, or the mark that it has, and the note that goes with it.
+_NOTES = [("rights", "all rights reserved", "sources differ on use"), ("rights", "copyright", "sources differ on use"), ("rights", "license", "sources differ on use"), ("insult", "moron", "sources differ on tone"), ("insult", "stupid", "sources differ on tone"), ("insult", "worthless", "sources differ on tone"), ("secret", "password", "sources differ on disclosure"), ("secret", "api_key", "sources differ on disclosure")]
+_NOTE_OF = dict((name, note) for name, _, note in _NOTES)
+
+
+@query(
+    "T17_disagreement_notes",
+    f"""SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(text), '{pattern_of([k for n, k, _ in _NOTES if n == name])}'){' OR toxic = 1' if name == 'insult' else ''} THEN '{note}' END" for name, note in _NOTE_OF.items())}], lambda x: x IS NOT NULL), '; ') AS notes FROM documents JOIN labels USING (doc_id)""",
+)
 def disagreement_notes(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").contains("rights").alias("said"))
-    return docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").select("doc_id", ((F.col("toxic") == 1) | F.col("said")).alias("noted"))
+    """The notes that a labelled text gets, by what it says or by its mark, in the table's order."""
+    docs = with_matches(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low")), "low", [(name, k) for name, k, _ in _NOTES])
+    said = docs.select("doc_id", labels_of().alias("said")).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    noted = lambda name: F.array_contains("said", name) | F.coalesce(F.col("toxic") == 1, F.lit(False)) if name == "insult" else F.array_contains("said", name)
+    return said.select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(noted(name), F.lit(note)) for name, note in _NOTE_OF.items()])), "; ").alias("notes"))
 
 
 @query("ST3_hourly_allowance", "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS calls, greatest(count(*) - 1, 0) AS refused FROM events GROUP BY user_id, date_trunc('hour', ts)")

@@ -108,11 +108,14 @@ def negation_guard(spark, sf):
     return T.with_hits(rows, "lowered", None, _WATER).select("conv_id", "turn", F.size("found.hits").cast("long").alias("hits")).filter("hits > 0")
 
 
-@query("F10_unit_rewrite")
+_MEASURED_SQL = "text || ' ' || (95 + turn % 10) || ' F, ' || (10 + turn % 90) || ' lb'"
+
+
+@query("F10_unit_rewrite", f"SELECT conv_id, turn, {T.with_converted_units_sql('t')} AS text FROM (SELECT conv_id, turn, {_MEASURED_SQL} AS t FROM conversations)")
 def unit_rewrite(spark, sf):
-    """Fahrenheit values in texts get their Celsius value."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), (95 + F.col("turn") % 10).cast("string"), F.lit(" F")).alias("text"))
-    return rows.select("conv_id", "turn", T.with_converted_units(F.col("text")).alias("text"))
+    """Fahrenheit and pounds in texts get their metric value; each turn of this corpus gets one of both at its end."""
+    measured = F.concat("text", F.lit(" "), (95 + F.col("turn") % 10).cast("string"), F.lit(" F, "), (10 + F.col("turn") % 90).cast("string"), F.lit(" lb"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.with_converted_units(measured).alias("text"))
 
 
 @query("T7_explain_match", r"SELECT doc_id, regexp_extract(text, '(?i)(.{0,20}(?:trash|worthless|moron).{0,20})', 1) AS context FROM documents WHERE regexp_matches(text, '(?i)(?:trash|worthless|moron)')")

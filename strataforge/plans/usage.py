@@ -153,12 +153,11 @@ def last_six_turns(spark, sf):
 
 @query("W3_conversation_context", "SELECT conv_id, turn, string_agg(CASE WHEN role = 'user' THEN text END, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
 def conversation_context(spark, sf):
-    """What the user said before each turn: one array a conversation, of which each turn joins the part before it."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    said = F.filter(F.slice("t", F.lit(1), F.col("at")), lambda x: (x["role"] == "user") & x["text"].isNotNull())
-    each = turns.select("conv_id", "t", F.posexplode("t").alias("at", "own"))
-    context = F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda x: x["text"]), " | "))
-    return each.select("conv_id", "own.turn", context.alias("context"), F.when(F.col("at") > 0, F.get("t", F.col("at") - 1)["role"]).alias("before"))
+    """What the user said before each turn, and who spoke last: running lists of a conversation's own turns."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    said = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    context = F.when(F.size(said) > 0, F.array_join(said, " | "))
+    return table(spark, sf, "conversations").select("conv_id", "turn", context.alias("context"), F.lag("role").over(by).alias("before"))
 
 
 @query("W4_last_non_null", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_bought FROM events")

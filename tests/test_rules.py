@@ -97,8 +97,8 @@ def test_intervals_agree_with_replacements(spark):
 
 
 def test_unit_rewrite(spark):
-    rows = spark.createDataFrame([("it was 101 F and 500 F",), (None,)], "t string")
-    assert [r[0] for r in rows.select(T.with_converted_units(F.col("t"))).collect()] == ["it was 101 F (38.3 C) and 500 F", None]
+    rows = spark.createDataFrame([("it was 101 F and 500 F",), (None,), ("",), ("22 lbs, 101.5°F101F 10 Feet",)], "t string").coalesce(1)
+    assert [r[0] for r in rows.select(T.with_converted_units(F.col("t"))).collect()] == ["it was 101 F (38.3 C) and 500 F", None, "", "22 lbs (10.0 kg), 101.5°F101F (38.3 C) 10 Feet"]
 
 
 def test_levels(spark):
