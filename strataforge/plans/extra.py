@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTED, PLAIN, fold, tokens
-from ..operators.keywords import labels_of, pattern_of, with_matches
+from ..operators.keywords import CLITICS, labels_of, pattern_of, with_matches
 from ..operators.ordering import numbered
 from ..operators.variants import find_first, priced
 from ..sources.sinks import manifest, read_lines, write_document_files, write_export
@@ -34,6 +34,21 @@ def clitic_stem(spark, sf):
     return words.select("doc_id", "w", F.when(F.length(front) >= 3, F.when(F.length(back) >= 3, back).otherwise(front)).otherwise(whole).alias("stem"))
 
 
+_CLITICS = "|".join(CLITICS)
+_STEMS_SQL = f"SELECT DISTINCT doc_id, a, CASE WHEN length(regexp_replace(a, '^(?:{_CLITICS})', '')) >= 3 THEN regexp_replace(a, '^(?:{_CLITICS})', '') ELSE a END AS stem FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[a-j]{{4,}}')), '{_LATIN}', '{_ARABIC}') AS a FROM documents)"
+
+
+@query("N5_form_expansion", f"WITH w AS ({_STEMS_SQL}), f AS (SELECT DISTINCT doc_id, stem, unnest(list_prepend(stem, list_transform([{', '.join(repr(c) for c in CLITICS)}], lambda c: c || stem))) AS form FROM w) SELECT f.doc_id, f.stem, count(*) AS reached FROM f JOIN w ON w.doc_id = f.doc_id AND w.a = f.form GROUP BY ALL HAVING count(*) > 1")
+def form_expansion(spark, sf):
+    """Arabic stems of which a document has more than one form: a stem is asked for with each article and preposition that may be written with it."""
+    a = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[a-j]{4,}"), 0), lambda w: F.translate(w, _LATIN, _ARABIC)))).alias("a")
+    words = table(spark, sf, "documents").select("doc_id", a).distinct()
+    bare = F.regexp_replace("a", f"^(?:{_CLITICS})", "")
+    stems = words.select("doc_id", F.when(F.length(bare) >= 3, bare).otherwise(F.col("a")).alias("stem")).distinct()
+    forms = stems.select("doc_id", "stem", F.explode(F.array_distinct(F.concat(F.array("stem"), F.transform(F.array(*[F.lit(c) for c in CLITICS]), lambda c: F.concat(c, F.col("stem")))))).alias("a"))
+    return forms.join(words, ["doc_id", "a"]).groupBy("doc_id", "stem").agg(F.count(F.lit(1)).alias("reached")).filter("reached > 1")
+
+
 # Rows of keyword tables in words of our own: what soothes, and what an alarm is about.
 _CALM = {
     "soothes": ["do not worry", "don't worry", "no need to", "nothing serious", "harmless", "will pass by itself", "kein grund zur sorge", "nichts schlimmes", "harmlos", "geht von selbst", "rien de grave", "ne vous inquiétez pas", "sans gravité", "no es grave", "no se preocupe", "no te preocupes", "se pasa solo", "não é grave", "não se preocupe"],
