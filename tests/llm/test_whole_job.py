@@ -206,3 +206,15 @@ def test_no_verbatim_run_is_lost(spark):
         rows.append((k, " ".join(parts)))
     lost, repeated = _lost(spark, rows)
     assert repeated > 1000 and lost == []
+
+
+def test_sample_of_different_rows(spark, monkeypatch):
+    """Thousands of copies of one row don't take the places of other rows of its label."""
+    from strataforge.llm import language_id
+
+    seen = []
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, x, y: seen.append(len({r.tobytes() for r in x})) or self)
+    for i in range(4):
+        rows = [(i, "the same text", "en")] * 2000 + [(1000 + k, f"another text {k}", "en") for k in range(200)]
+        language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    assert seen == [50] * 4
