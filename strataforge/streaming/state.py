@@ -27,12 +27,17 @@ def _whole(column: pd.Series) -> list[int]:
     return column.fillna(-1).astype("int64").tolist()
 
 
+def _due(at: int) -> int:
+    """The first millisecond after a time in microseconds, the unit of timers."""
+    return at // 1000 + 1
+
+
 class TurnMemory(StatefulProcessor):
     """For each turn: the ``most`` last turns of its key within ``hours`` before it, oldest first, itself among them.
 
     A turn waits until the watermark has passed it, so turns that come out of order find
     the same history as in order. Waiting turns are in one list, remembered ones (``most`` at most) in another;
-    a timer after ``hours`` without a turn clears the key.
+    a timer waits for the earliest waiting turn, and one after ``hours`` without a turn clears the key.
     """
 
     OUTPUT = "key string, id long, at long, history array<long>"
@@ -47,31 +52,32 @@ class TurnMemory(StatefulProcessor):
         self.remembered = handle.getListState("remembered", self._TURN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        first = None
         for part in rows:
             turns = list(zip(_whole(part["id"]), _whole(part["at"])))
             self.waiting.appendList(turns)
-            due |= {at // 1000 + 1 for _, at in turns}
-        for ms in due:
-            self.handle.registerTimer(ms)
+            first = min([at for _, at in turns] + ([] if first is None else [first]))
+        self.handle.registerTimer(_due(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted((t[1], t[0]) for t in self.waiting.get()) if self.waiting.exists() else []
         memory = sorted((t[1], t[0]) for t in self.remembered.get()) if self.remembered.exists() else []
+        ready = sum(_due(at) <= now for at, _ in waiting)  # all at once: other timers find nothing to do
         out = []
-        while waiting and waiting[0][0] < now:
-            turn = waiting.pop(0)
+        for turn in waiting[:ready]:
             memory = [t for t in [*memory, turn] if t[0] >= turn[0] - self.reach][-self.most :]
             out.append((key[0], turn[1], turn[0], [t[1] for t in memory]))
-        memory = [t for t in memory if t[0] >= now - self.reach]
-        for state, turns in ((self.waiting, waiting), (self.remembered, memory)):
+        memory = [t for t in memory if _due(t[0] + self.reach) > now]
+        for state, turns in ((self.waiting, waiting[ready:]), (self.remembered, memory)):
             state.clear()
             if turns:
                 state.put([(i, at) for at, i in turns])
-        if memory and out:
-            self.handle.registerTimer((memory[-1][0] + self.reach) // 1000 + 1)
+        if waiting[ready:]:
+            self.handle.registerTimer(_due(waiting[ready][0]))
+        if memory:
+            self.handle.registerTimer(_due(memory[-1][0] + self.reach))
         if out:
             yield pd.DataFrame(out, columns=["key", "id", "at", "history"])
 
@@ -100,9 +106,9 @@ class Alerts(StatefulProcessor):
     def _save(self, failures: int, following: int, before: int) -> None:
         if before != following:
             if before:
-                self.handle.deleteTimer(before // 1000 + 1)
+                self.handle.deleteTimer(_due(before))
             if following:
-                self.handle.registerTimer(following // 1000 + 1)
+                self.handle.registerTimer(_due(following))
         if failures or following:
             self.state.update((failures, following))
         else:
