@@ -174,8 +174,10 @@ def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Network | None
     data, n = F.encode("text", "UTF-8"), F.octet_length("text")
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_A_ROW - 1)), lambda j: F.substring(data, F.lit(1) + F.floor(j * F.greatest(n - WINDOW, F.lit(0)) / (WINDOWS_A_ROW - 1)).cast("int"), F.lit(WINDOW)))
     drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(scale)) < F.col("share"))
-    drawn = drawn.select("lang", F.pmod("h", F.lit(scale)).alias("place"), "h", cut.alias("windows")).dropDuplicates(["lang", "h"])  # a repeated row is one row
-    sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).filter(F.col("n") <= most).select("lang", "h", "windows").collect()
+    drawn = drawn.select("lang", F.pmod("h", F.lit(scale)).alias("place"), "h", cut.alias("windows"))
+    # Different rows first: repeated ones only take places that are left.
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "h").orderBy("place"))).filter(F.col("nth") <= most)
+    sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("nth", "place", "h"))).filter(F.col("n") <= most).select("lang", "h", "windows").collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     langs = sorted({r["lang"] for r in sample})
     parts = [(bytes(w), langs.index(r["lang"])) for r in sample for w in dict.fromkeys(bytes(w) for w in r["windows"]) if w]
