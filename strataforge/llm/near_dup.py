@@ -14,6 +14,7 @@ others. A member that no comparison has put into the bucket's largest component
 then compared with all members of other components, block by block on packed
 signatures, and every likely pair that its block's links have not joined yet is verified there.
 So a bucket of copies costs one comparison a member, no likely pair is left out, and pairs never become rows.
+Elements of a block that are more than CELL_BYTES are verified in ranges, whose counts are added.
 Verification computes the exact multiset similarity; links at LEAST or more
 form components, which are the classes.
 
@@ -42,6 +43,7 @@ PLACES, BAND = 128, 4
 LEAST = 0.8
 SLACK = 0.12  # estimates from 128 places are off by 0.035 at 0.8; pairs below LEAST - SLACK aren't verified
 CHUNK = 1024  # rows of a bucket compared at once
+CELL_BYTES = 32 << 20  # elements compared at once; what holds more is cut by ranges of elements
 
 _GAMMA, _BLOCK = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 
@@ -127,7 +129,7 @@ def _node() -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (MD5 of the text), sketch (with 32 bits of each band), bands; bands are empty for texts without words. A narrow map."""
+    """doc_id, node (MD5 of the text), sketch (with each band's hash), bands; bands are empty for texts without words. A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
@@ -138,7 +140,7 @@ def signed(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(has * found.shape[1])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[has].ravel()))
             nodes = pa.array([node_of(t) for t in column.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, pa.array([a + b.tobytes() for a, b in zip(sketches(times), found.astype(np.uint32))], pa.binary()), listed], ["doc_id", "node", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), nodes, pa.array([a + b.tobytes() for a, b in zip(sketches(times), found)], pa.binary()), listed], ["doc_id", "node", "sketch", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, sketch binary, bands array<long>")
 
@@ -157,7 +159,7 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def _elements(needed: DataFrame, docs: DataFrame, into: list[str] | None) -> DataFrame:
-    """node, elements (a hash of each copy of each shingle, 8 bytes each) of the texts in ``needed`` (node).
+    """node, elements (a hash of each copy of each shingle, 8 bytes each), size (their number) of the texts in ``needed`` (node).
 
     Only such texts are shuffled: a Bloom filter of fixed size drops others where they are read.
     """
@@ -175,7 +177,7 @@ def _elements(needed: DataFrame, docs: DataFrame, into: list[str] | None) -> Dat
 
     elements = texts.select("node", "text", "h").mapInArrow(sets, "node binary, elements binary")
     owned = needed.join(elements, "node").groupBy("node").agg(F.first("elements").alias("elements"))
-    return written(owned, "elements", into)
+    return written(owned.withColumn("size", (F.octet_length("elements") / 8).cast("long")), "elements", into)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, into: list[str] | None = None) -> DataFrame:
@@ -235,7 +237,7 @@ def _likely_pairs(cell: pa.RecordBatch, joined: np.ndarray) -> Iterator[tuple[in
     """
     role, band = cell.column("role").to_numpy(), cell.column("band")[0].as_py()
     both = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(cell.num_rows, -1)
-    sketch, digests = both[:, : PLACES // 2], both[:, PLACES // 2 :].view(np.uint32)[:, :band]
+    sketch, digests = both[:, : PLACES // 2], np.ascontiguousarray(both[:, PLACES // 2 :]).view(np.int64)[:, :band]
     right = np.flatnonzero(role != 1)
     own = sketch[right]
     for i in np.flatnonzero(role > 0):
@@ -252,6 +254,70 @@ def _numbered(names: pa.Array) -> np.ndarray:
     return np.unique(np.array(names.to_pylist(), object), return_inverse=True)[1]
 
 
+def shared_counts(sets: list[np.ndarray], asking: np.ndarray) -> Iterator[np.ndarray]:
+    """For each set in ``asking``, how many elements it shares with every set; elements are distinct within a set."""
+    ends = np.concatenate([[0], np.cumsum([len(e) for e in sets])])
+    member = np.repeat(np.arange(len(sets)), np.diff(ends))
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = member[np.argsort(code, kind="stable")]
+    held = np.bincount(code)
+    start = np.cumsum(held) - held
+    for i in asking:
+        own = code[ends[i] : ends[i + 1]]
+        n = held[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield np.bincount(holders[at], minlength=len(sets))
+
+
+def _links_of_large(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of cells whose elements are too many for one task; ``rows`` also has elements, size and parts.
+
+    A cell is cut into parts by ranges of elements, so each element is shuffled once. A part counts what likely
+    pairs share of its range, one row an asking member with its partners' counts side by side; the sums decide.
+    """
+    keys = ["bucket", "i", "j"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row, parts = batch.slice(k, 1), batch.column("parts")[k].as_py()
+                own = np.sort(np.frombuffer(row.column("elements")[0].as_py(), np.uint64))
+                ends = np.searchsorted((own >> U(32)) * U(parts) >> U(32), np.arange(parts + 1))
+                rest = row.drop_columns(["elements", "parts"]).take(pa.array(np.zeros(parts, np.int64)))
+                pieces = pa.array([own[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest.columns, pieces, pa.array(np.arange(parts, dtype=np.int32))], [*rest.schema.names, "elements", "part"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, [*keys, "part"]):  # rows come in the same order in every part
+            joined, size = _numbered(cell.column("c")), cell.column("size").to_numpy()
+            likely = list(_likely_pairs(cell, joined))
+            node = np.array(cell.column("node").to_pylist(), object)
+            sets = [np.frombuffer(e, np.uint64) for e in cell.column("elements").to_pylist()]
+            first = cell.column("part")[0].as_py() == 0  # one part names the partners
+            for (i, found), shared in zip(likely, shared_counts(sets, np.array([i for i, _ in likely], np.int64))):
+                named = (b"".join(node[found]), (size[found] + size[i]).astype(np.int64).tobytes(), joined[found].astype(np.int64).tobytes()) if first else (b"", b"", b"")
+                values = [*(cell.column(k)[0].as_py() for k in keys), node[i], shared[found].astype(np.int64).tobytes(), *named]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, counted)], counted)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, [*keys, "a"]):
+            total, component = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.int64) for c in ("total", "component"))
+            shared = sum(np.frombuffer(x, np.int64) for x in part.column("shared").to_pylist())
+            at = np.flatnonzero(shared / (total - shared) >= LEAST)
+            at = at[np.unique(component[at], return_index=True)[1]]  # a link to each component is enough
+            mates = b"".join(part.column("mates").to_pylist())
+            width = len(mates) // len(total)
+            b = pa.array([mates[k * width : (k + 1) * width] for k in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(np.zeros(len(at), np.int64))), b], ["a", "b"])
+
+    counted = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.binary()), ("shared", pa.binary()), ("mates", pa.binary()), ("total", pa.binary()), ("component", pa.binary())])
+    fields = "bucket long, band int, i int, j int, role int, node binary, c binary, sketch binary, size long"
+    pieces = rows.select(*(f.split()[0] for f in fields.split(", ")), "elements", "parts").mapInArrow(cut, f"{fields}, elements binary, part int")
+    pieces = pieces.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "node", "role")
+    counts = pieces.mapInArrow(count, "bucket long, i int, j int, a binary, shared binary, mates binary, total binary, component binary")
+    return counts.repartition(*keys, "a").sortWithinPartitions(*keys, "a").mapInArrow(decide, "a binary, b binary")
+
+
 def _links_left(members: DataFrame, component: DataFrame, sketch: DataFrame, docs: DataFrame, into: list[str]) -> DataFrame:
     """Links (a, b) between components, from every likely pair of a bucket's members; enough of them to join what belongs together.
 
@@ -293,7 +359,10 @@ def _links_left(members: DataFrame, component: DataFrame, sketch: DataFrame, doc
     by_cell = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
     marked = written(by_cell(_cells(members, component, sketch, into)).mapInArrow(mark, fields), "likely-members", into)
     elements = _elements(marked.select("node").distinct(), docs, into)
-    return by_cell(marked.join(elements, "node")).mapInArrow(compare, "a binary, b binary")
+    parts = marked.join(elements.select("node", "size"), "node").groupBy(*keys).agg(F.ceil(F.sum("size") * 8 / CELL_BYTES).cast("int").alias("parts"))
+    large = written(parts.filter("parts > 1"), "large-cells", into)
+    found = by_cell(marked.join(large, keys, "left_anti").join(elements, "node")).mapInArrow(compare, "a binary, b binary")
+    return found if large.isEmpty() else found.unionByName(_links_of_large(marked.join(large, keys).join(elements, "node")))
 
 
 def classes(docs: DataFrame) -> DataFrame:

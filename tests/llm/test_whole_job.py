@@ -160,6 +160,25 @@ def test_near_duplicate_families(spark):
     assert got == dict(enumerate(parent.tolist()))
 
 
+def test_near_duplicate_cells_in_ranges(spark, monkeypatch):
+    """The same families when a cell's elements pass the limit, so each cell is verified in several ranges."""
+    monkeypatch.setattr(near_dup, "CELL_BYTES", 1 << 16)
+    parts, plain = [], near_dup._links_of_large
+    monkeypatch.setattr(near_dup, "_links_of_large", lambda rows: parts.append(rows.agg({"parts": "max"}).first()[0]) or plain(rows))
+    test_near_duplicate_families(spark)
+    assert parts and parts[0] > 3
+
+
+def test_shared_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 40, 40, 90, 1)]
+    got = list(near_dup.shared_counts(sets, np.array([4, 0, 2])))
+    for i, row in zip((4, 0, 2), got):
+        assert row.tolist() == [len(np.intersect1d(sets[i], other)) for other in sets]
+
+
 def _runs(text, k=50):
     own = text.split()
     return {tuple(own[i : i + k]): i for i in range(len(own) - k, -1, -1)}
