@@ -11,7 +11,7 @@ ranked in the first of them only.
 
 Largest inner product is turned into smallest angle by one more coordinate,
 sqrt(M**2 - |x|**2) with M the largest norm and 0 for queries (Bachrach and
-others 2014), so pivots see lengths as well. Pivots are a random sample of rows:
+others 2014), so pivots see lengths as well. Pivots are a random sample of different vectors:
 PIVOTS of them, more from FILE_ROWS * PIVOTS / POSTS vectors on so that files keep their size,
 MOST_PIVOTS at most. A file that is larger than FILE_ROWS vectors or FILE_QUERIES queries
 (a hot pivot) is dealt to several tasks by a hash of the id. So a vector is shuffled
@@ -41,6 +41,8 @@ PIVOTS, MOST_PIVOTS, LIST = 512, 65536, 64
 POSTS, PROBES = 8, 64
 KEPT = 0.5
 FILE_ROWS, FILE_QUERIES = 16384, 16384
+SHARES = 1 << 30  # of the sample
+STEP_CELLS = 1 << 22  # products of vectors and pivots that a task holds at once
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,10 +67,11 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """rows x LIST (or fewer): pivots by descending inner product."""
     size = min(LIST, len(pivots))
     out = np.zeros((len(x), size), np.uint16)
-    for k in range(0, len(x), 1024):
-        near = x[k : k + 1024] @ pivots.T
+    step = min(1024, max(1, STEP_CELLS // len(pivots)))
+    for k in range(0, len(x), step):
+        near = x[k : k + step] @ pivots.T
         own = np.argpartition(-near, size - 1, axis=1)[:, :size]
-        out[k : k + 1024] = np.take_along_axis(own, np.argsort(-np.take_along_axis(near, own, 1), axis=1, kind="stable"), 1)
+        out[k : k + step] = np.take_along_axis(own, np.argsort(-np.take_along_axis(near, own, 1), axis=1, kind="stable"), 1)
     return out
 
 
@@ -128,13 +131,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, kept: float = KE
     """query_id, rank, vec_id, score: the k nearest rows found for each row of ``queries``; both have vec_id, embedding."""
     rows, asked = usable(vectors), usable(queries)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("square")).orderBy(F.desc("n"), "size").first()
-    size, n, longest = (facts["size"], facts["n"], float(facts["square"]) ** 0.5) if facts else (0, 0, 0.0)
+    facts = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("square"), F.approx_count_distinct(F.xxhash64("v")).alias("different")).orderBy(F.desc("n"), "size").first()
+    size, n, longest, different = (facts["size"], facts["n"], float(facts["square"]) ** 0.5, facts["different"]) if facts else (0, 0, 0.0, 0)
     rows, asked = (t.filter(F.size("v") == size).distinct() for t in (rows, asked))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("copy") <= k + 1).drop("copy")
     count = min(MOST_PIVOTS, max(PIVOTS, n * POSTS // FILE_ROWS))
-    sample = vectors.sparkSession.createDataFrame([], "v array<double>") if not n else usable(vectors).filter(F.size("v") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * count).select("v")
-    raw = np.array([r["v"] for r in sample.collect()], np.float64).reshape(-1, max(size, 1))
+    share = SHARES if different <= 4 * count else SHARES * 4 * count // different  # about four times the pivots, by a hash of the vector, reach a sort
+    known = usable(vectors).filter(F.size("v") == size).select("v", F.xxhash64("v").alias("h")).filter(F.pmod("h", F.lit(SHARES)) < share)
+    sample = known.distinct().orderBy("h", "v").limit(2 * count).select("v").collect() if n else []
+    raw = np.array([r["v"] for r in sample], np.float64).reshape(-1, max(size, 1))
     pivots = choose_pivots(lifted(raw, longest), count)
     n_pivots, probes = len(pivots), min(PROBES, LIST)
 
