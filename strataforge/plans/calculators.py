@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import calculators as C
 from ..operators import lookups as L
+from ..operators.links import FILLERS, RETIRED, link_class, path_words
 from ..sources.tables import table
 from .registry import query
 
@@ -380,10 +381,28 @@ def slots(spark, sf):
     return table(spark, sf, "part").groupBy("p_size").agg(F.bool_and(F.col("p_retailprice") > 950).alias("all_dear"), F.array_join(F.sort_array(F.collect_set("p_type")), " or ").alias("types"))
 
 
-@query("F17_url_overlap", "SELECT page_id, len(list_intersect(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/'), ['en', 'fr', 'archive']))::BIGINT AS shared FROM pages")
+_LINK_WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace(%s, '^https?://[^/]+', '')), '[^a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in FILLERS) + ")))"
+_PLAIN = "regexp_replace(url_decode(%s), '/+$', '')"
+LINKS = f"""WITH t AS (SELECT page_id, url, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages
+), c AS (SELECT title, min_by(url, page_id) AS cited FROM t WHERE title <> '' GROUP BY title
+), w AS (SELECT page_id, cited, url, html LIKE '%</html>%' AS answers, {_LINK_WORDS % 'cited'} AS own, {_LINK_WORDS % 'url'} AS now FROM t JOIN c USING (title)
+), links AS (SELECT page_id, len(list_intersect(own, now))::BIGINT AS shared, CASE WHEN cited IS NULL THEN NULL WHEN url IS NULL OR NOT coalesce(answers, false) THEN 'broken' WHEN regexp_matches(url, '{RETIRED}') THEN 'retired'
+  WHEN {_PLAIN % 'cited'} = {_PLAIN % 'url'} THEN 'same' WHEN len(own) > 0 AND NOT list_has_any(own, now) THEN 'topic' ELSE 'moved' END AS class FROM w)
+"""
+
+
+def cited_links(spark, sf):
+    """page_id, class, shared of each page: the address first seen with its title is the cited one, its own is where the title is now."""
+    rows = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.contains("html", F.lit("</html>")).alias("answers"))
+    cited = rows.filter("title <> ''").groupBy("title").agg(F.min_by("url", "page_id").alias("cited"))
+    shared = F.size(F.array_intersect(path_words(F.col("cited")), path_words(F.col("url")))).cast("long")
+    return rows.join(cited, "title").select("page_id", link_class(F.col("cited"), F.col("url"), F.col("answers")).alias("class"), shared.alias("shared"))
+
+
+@query("F17_url_overlap", LINKS + "SELECT page_id, class, shared FROM links")
 def url_overlap(spark, sf):
-    parts = F.split(F.regexp_extract("url", "://[^/]*/(.*)$", 1), "/")
-    return table(spark, sf, "pages").select("page_id", F.size(F.array_intersect(parts, F.array(F.lit("en"), F.lit("fr"), F.lit("archive")))).cast("long").alias("shared"))
+    """What became of the address of each page's title: the words of both paths tell a move from another topic."""
+    return cited_links(spark, sf)
 
 
 @query("F19_url_channel", "SELECT CASE WHEN url LIKE '%utm_source=%' THEN 'campaign' WHEN regexp_extract(url, '://([^/?#]*)', 1) LIKE 'blog.%' THEN 'blog' WHEN regexp_extract(url, '://([^/?#]*)', 1) LIKE 'm.%' THEN 'mobile' ELSE 'site' END AS channel, count(*) AS n FROM pages GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import rules as T
 from ..sources.tables import table
+from .calculators import LINKS, cited_links
 from .registry import query
 
 # Rows of a rule table, in words of our own; a negation inside a keyword is part of the signal.
@@ -186,10 +187,10 @@ def battery(spark, sf):
     return _predicted(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == 1).alias("flagged"), F.count_if(F.col("pred") != F.col("toxic")).alias("wrong"))
 
 
-@query("A16_classification_counts", "SELECT CASE WHEN url LIKE 'https%' THEN 'alive' WHEN url LIKE '%#%' THEN 'moved' ELSE 'other' END AS class, count(*) AS n FROM pages GROUP BY 1")
+@query("A16_classification_counts", LINKS + "SELECT class, count(*) AS n FROM links GROUP BY class")
 def classification_counts(spark, sf):
-    kind = F.when(F.col("url").startswith("https"), "alive").when(F.col("url").contains("#"), "moved").otherwise("other")
-    return table(spark, sf, "pages").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    """How many cited addresses are the same, moved, retired, broken or on another topic now."""
+    return cited_links(spark, sf).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("T20_public_facts", "SELECT 'documents' AS fact, count(*) AS n FROM documents UNION ALL SELECT 'sources', count(DISTINCT source) FROM documents UNION ALL SELECT 'languages', count(DISTINCT lang) FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
