@@ -170,10 +170,17 @@ def merged_small(spark, sf):
     return per.select("doc_id", F.posexplode(E.merge_small(F.col("chunks"))).alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("n"), F.size("chunk").cast("long").alias("words"))
 
 
-@query("C11_bibliography", r"SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:et|de|der) [a-z]+')) >= 3 AND len(regexp_extract_all(text, '(?i)(?:et|de|der) [a-z]+')) > 0.02 * len(regexp_extract_all(text, '\S+')) AS is_bibliography FROM documents")
+# Marks of a list of references.
+_MARKS = r"(?i)(?<![\p{L}\p{N}_])et al(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])doi:|https?://|PMID"
+# The same without looking around: all that is no letter, digit or _ is tripled first, so two neighbours need not share one.
+_MARKS_SQL = r"(len(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1\1', 'g'), '(?i)(?:^|[^\p{L}\p{N}_])et   al(?:[^\p{L}\p{N}_]|$)')) + len(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1\1', 'g'), '(?i)(?:^|[^\p{L}\p{N}_])doi::')) + len(regexp_extract_all(text, '(?i)https?://|PMID')))"
+
+
+@query("C11_bibliography", rf"SELECT doc_id, marks::BIGINT AS marks, marks >= 3 AND marks > 0.02 * words AS is_bibliography FROM (SELECT doc_id, {_MARKS_SQL} AS marks, len(regexp_extract_all(text, '\S+')) AS words FROM documents)")
 def bibliography(spark, sf):
-    marks = F.regexp_count("text", F.lit("(?i)(?:et|de|der) [a-z]+"))
-    return table(spark, sf, "documents").select("doc_id", ((marks >= 3) & (marks > 0.02 * word_count(F.col("text")))).alias("is_bibliography"))
+    """Texts that are lists of references: three marks or more, in more than 2 % of the words."""
+    marks = F.regexp_count("text", F.lit(_MARKS))
+    return table(spark, sf, "documents").select("doc_id", marks.cast("long").alias("marks"), ((marks >= 3) & (marks > 0.02 * word_count(F.col("text")))).alias("is_bibliography"))
 
 
 # Rows of keyword tables in words of our own.

@@ -25,3 +25,14 @@ def test_link_classes(spark):
     df = spark.createDataFrame(rows, "before string, after string, answers boolean, want string")
     got = df.select("before", "after", link_class(F.col("before"), F.col("after"), F.col("answers")).alias("got"), "want").collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_marks_of_references(spark, duck):
+    """Both forms of the marks on neighbours, ends, other scripts and case."""
+    from strataforge.plans import etl
+
+    texts = {"": 0, "et al": 1, "et al et al, et al.": 3, "Et Al": 1, "bet al": 0, "et alii": 0, "et alé": 0, "éet al": 0, "doi:doi:10": 2, "xdoi:1 (doi:2)": 1, "see https://doi:9 http://b PMID1pmid": 5, "et\nal": 0, "日et al": 0, "et al\ndoi:": 2}
+    df = spark.createDataFrame(list(texts.items()), "text string, want int")
+    assert {r[0]: r[1] for r in df.select("text", F.regexp_count("text", F.lit(etl._MARKS))).collect()} == texts
+    for text, want in texts.items():
+        assert duck.execute(f"SELECT {etl._MARKS_SQL} FROM (SELECT ?::VARCHAR AS text)", [text]).fetchone()[0] == want, text
