@@ -32,7 +32,7 @@ _INLINE = r"(?:[^<]|</?(?:b|br|i|em|strong|a|span|u|code)\b[^>]*>)*"
     rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<(?:style|head)\b.*?</(?:style|head)>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages
 ), b AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<(?:h[1-4]|p|li)\b[^>]*>{_INLINE}')) AS block, generate_subscripts(regexp_extract_all(h, '(?is)<(?:h[1-4]|p|li)\b[^>]*>{_INLINE}'), 1) AS n FROM p
 ), t AS (SELECT page_id, lower(regexp_extract(block, '^<([a-zA-Z0-9]+)', 1)) AS tag, regexp_replace(regexp_replace(block, '^<[^>]*>', ''), '(?i)<br[^>]*>', ' ', 'g') AS x, n FROM b
-), l AS (SELECT page_id, n, tag, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS line FROM t
+), l AS (SELECT page_id, n, tag, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM t
 ) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, tag, line, (CASE tag WHEN 'h1' THEN 20 WHEN 'h2' THEN 15 WHEN 'h3' THEN 13 WHEN 'h4' THEN 12 ELSE 10 END)::BIGINT AS size FROM l WHERE line <> ''""",
 )
 def html_lines(spark, sf):
