@@ -71,9 +71,9 @@ def turn_memory(spark, sf):
 
 @query(
     "ST8_alerts_by_clock",
-    """WITH o AS (SELECT user_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER w - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS run,
+    """WITH o AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER w - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS run,
     lead(epoch_us(ts)) OVER w AS next_t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-), r AS (SELECT user_id, run, list_sort(list(t))[3] AS warned, arg_max(next_t, t) AS recovered FROM o WHERE bad GROUP BY user_id, run HAVING count(*) >= 3
+), r AS (SELECT user_id, run, list_sort(list(t))[3] AS warned, last(next_t ORDER BY t, event_id) AS recovered FROM o WHERE bad GROUP BY user_id, run HAVING count(*) >= 3
 ), e AS (SELECT r.*, coalesce(recovered, (SELECT epoch_us(max(ts)) + 1000000 FROM events)) AS upto FROM r
 ) SELECT user_id, warned AS "at", 'warn' AS kind FROM e
 UNION ALL SELECT user_id, recovered, 'recovered' FROM e WHERE recovered IS NOT NULL
@@ -81,7 +81,7 @@ UNION ALL SELECT user_id, warned + 21600000000 * unnest(range(1, (upto - warned)
 )
 def alerts_by_clock(spark, sf):
     """A user's third error in a row warns, again each six hours by the clock, and the first success after it is told once."""
-    events = J.event_stream(spark, sf, ALL).select("user_id", F.col("event_id").alias("id"), "ts", (F.col("event_type") != "error").alias("ok"))
+    events = J.event_stream(spark, sf, ALL).select("user_id", F.col("event_id").alias("id"), "ts", (~F.col("event_type").eqNullSafe("error")).alias("ok"))
     rows = J.drained(S.keyed(_with_end(spark, sf, events), "user_id", S.Alerts(), _LATE), conf=S.PROVIDER)
     return rows.select(F.col("key").cast("long").alias("user_id"), "at", "kind")
 

@@ -1,5 +1,6 @@
 """Queries and their SQL twins on small made tables that hold what the given ones seldom do."""
 
+import datetime as dt
 import os
 import tempfile
 
@@ -31,3 +32,15 @@ def test_character_references_that_were_cut(spark):
     got = same(spark, "S6_html_lines", pages=(pages, "page_id long, url string, html string"))
     titles = [line for _, _, tag, line, _ in sorted(got) if tag == "h1"]
     assert titles == ["a &&", "b &am", 'c "', "d &quo", "e © f", "g &quot;", "h ·&"]
+
+
+def test_alerts_that_are_open_at_the_end(spark):
+    """User 1 ends in errors, user 2 recovers, user 3 has two errors at one time before its recovery, user 4 an event without a type."""
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    series = {1: [(0, "error"), (1, "error"), (2, "error"), (15, "error")], 2: [(0, "error"), (1, "error"), (2, "error"), (9, "view"), (20, "view")]}
+    series[3] = [(0, "error"), (1, "error"), (3, "error"), (3, "error"), (3, "view"), (4, "error")]
+    series[4] = [(0, "error"), (1, "error"), (2, None), (3, "error"), (4, "error"), (5, "error"), (12, None)]
+    events = [(100 * u + k, at(h), u, what, 0.0, "") for u, rows in series.items() for k, (h, what) in enumerate(rows)]
+    got = same(spark, "ST8_alerts_by_clock", events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+    kinds = {u: sorted(k for x, _, k in got if x == u) for u in series}
+    assert kinds == {1: ["repeat"] * 3 + ["warn"], 2: ["recovered", "repeat", "warn"], 3: ["recovered", "warn"], 4: ["recovered", "repeat", "warn"]}
