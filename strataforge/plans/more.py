@@ -10,6 +10,7 @@ from ..functions.text import search_terms, tokens
 from ..operators import etl as E
 from ..operators import lookups as L
 from ..operators import router, scripts
+from ..operators import vectors as V
 from ..operators.keywords import labels_of, pattern_of, with_matches
 from ..sources.tables import table
 from .registry import query
@@ -118,20 +119,9 @@ def scrub(spark, sf):
 
 @query("R24_vector_similarity", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM embeddings, q WHERE list_cosine_similarity(embedding::DOUBLE[], q) > 0.3")
 def vector_similarity(spark, sf):
-    """An extension: cosine of every vector with each whose id is divisible by 100, exactly.
-
-    Queries are gathered in blocks of 64 or so, and a vector meets each block once, so
-    rows grow with vectors times blocks and not with pairs.
-    """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = vectors.filter("vec_id % 100 = 0")
-    n = max(1, -(-asked.count() // 64))
-    asked = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))).alias("queries"))
-    rows = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, "block")
-    cosine = lambda a: dot(F.col("v"), a["q"]) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(a["q"], a["q"]))
-    near = F.filter(F.transform("queries", lambda a: F.struct(a["query_id"].alias("query_id"), cosine(a).alias("cosine"))), lambda a: a["cosine"] > 0.3)
-    return rows.select("vec_id", F.explode(near).alias("a")).select("a.query_id", "vec_id", F.round("a.cosine", 6).alias("cosine"))
+    """An extension: cosine of every vector with each whose id is divisible by 100, exactly, by products of blocks."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return V.near(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", 0.3).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
 _BY_TEXT = [("a", "trash"), ("b", "moron"), ("c", "pathetic"), ("d", "all rights"), ("e", "stupid"), ("f", "password"), ("g", "que$"), ("h", "und$"), ("i", "worthless"), ("i", "idiot")]
