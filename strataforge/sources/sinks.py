@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 MANIFEST = "_manifest.json"
+READ_BYTES = 4 << 20  # of lines in a batch
 
 
 @dataclass
@@ -29,7 +31,6 @@ class Part(WriterCommitMessage):
     folder: str
     first: list  # of the order, to number parts by
     rows: int = 0
-    files: list[str] = field(default_factory=list)
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
@@ -87,7 +88,6 @@ class _FileADocument(_Writer):
                 if out is not None:
                     out.close()
                 now = row[self.key]
-                part.files.append(f"{now}.jsonl")
                 out = place.open_output_stream(f"{folder}/{now}.jsonl")
             out.write((json.dumps(row.asDict(), ensure_ascii=False) + "\n").encode())
             part.rows += 1
@@ -159,13 +159,41 @@ def manifest(path: str) -> dict:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The committed JSON lines of a sink, with ``before``, the number of rows in parts before theirs."""
+    """The committed JSON lines of a sink, with ``before``, the number of rows in parts before theirs.
+
+    A task lists and reads the files of its parts, so names of files never come to the driver, however many there are.
+    """
     parts, before, numbered = manifest(path)["parts"], 0, []
     for p in parts:
         numbered.append((p["folder"], before))
         before += p["rows"]
-    at = spark.createDataFrame(numbered, "folder string, before long")
     if not parts:
         return spark.createDataFrame([], schema).withColumn("before", F.lit(0).cast("long"))
-    rows = spark.read.schema(schema).json([f"{path.rstrip('/')}/{p['folder']}/*.jsonl" for p in parts])
-    return rows.withColumn("folder", F.regexp_extract(F.input_file_name(), "(part-[0-9a-f]+)", 1)).join(at, "folder").drop("folder")
+    base = path.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for folder, before in zip(batch.column("folder").to_pylist(), batch.column("before").to_pylist()):
+                lines: list[bytes] = []
+                size = 0
+                for file in place.get_file_info(fs.FileSelector(f"{root}/{folder}")):
+                    if not file.path.endswith(".jsonl"):
+                        continue
+                    with place.open_input_stream(file.path) as f:
+                        for line in io.BufferedReader(f, READ_BYTES):
+                            lines.append(line)
+                            size += len(line)
+                            if size > READ_BYTES:
+                                yield _lines(lines, before)
+                                lines, size = [], 0
+                if lines:
+                    yield _lines(lines, before)
+
+    at = spark.createDataFrame(numbered, "folder string, before long").repartition(len(numbered))
+    return at.mapInArrow(run, "line string, before long").select(F.from_json("line", schema).alias("row"), "before").select("row.*", "before")
+
+
+def _lines(lines: list[bytes], before: int) -> pa.RecordBatch:
+    text = pa.array(lines, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([text, pa.array([before] * len(lines), pa.int64())], ["line", "before"])
