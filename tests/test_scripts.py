@@ -57,3 +57,13 @@ def test_folds(spark):
 def test_column(spark):
     rows = spark.createDataFrame([(1, "दर्द"), (2, None)], "i int, t string")
     assert sorted(map(tuple, S.with_romanised(rows, "t", "l").collect())) == [(1, "दर्द", "dard"), (2, None, None)]
+
+
+def test_pieces_change_nothing(monkeypatch):
+    """Texts read in pieces of a few places equal a scan, whatever stands beside whatever, NUL and stray stops and dots included."""
+    monkeypatch.setattr(S, "_PIECE", 3)
+    r = random.Random(8)
+    letters = [chr(c) for c in range(0x8FE, 0x982)] + list("ab \0😀") + [S.VIRAMA, S.NUKTA, "ा", "ि"] * 12 + list(S.CONSONANTS) * 3
+    for _ in range(3000):
+        text = "".join(r.choices(letters, k=r.randint(0, 15)))
+        assert S.romanised(text) == scanned(text)
