@@ -15,7 +15,8 @@ TARGET, MOST, OVERLAP, LEAST = 320, 480, 40, 40
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *carried: str) -> DataFrame:
     """key, carried columns, line_no (from 0), line: every line of every document, cleaned."""
-    return docs.select(key, *carried, F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).select(key, *carried, "line_no", clean_line(F.col("raw")).alias("line"))
+    cleaned = F.transform(F.split(text, "\n"), clean_line)  # before they are rows, so that no filter on a line cleans it again
+    return docs.select(key, *carried, F.posexplode(cleaned).alias("line_no", "line"))
 
 
 def line_pattern(line: Column) -> Column:

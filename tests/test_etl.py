@@ -41,3 +41,11 @@ def test_text_functions(spark):
     assert rows.select(clean_line(F.lit("ﬁne­\t x "))).first()[0] == "fine x"
     html = '<p>a<script>var t="</p>";</script></p><style>p{}</style><b>b</b>'
     assert rows.select(visible_text(F.lit(html))).first()[0] == "a b"
+
+
+def test_lines_are_cleaned_once(spark):
+    """Filters on a line don't clean it again: the plan spells out ligatures in one place."""
+    docs = spark.createDataFrame([(1, "a \nﬁ\n\n12"), (2, None)], "doc_id long, text string")
+    rows = E.lines(docs).filter("line <> '' and not line rlike '^[0-9]+$'")
+    assert [tuple(r) for r in rows.collect()] == [(1, 0, "a"), (1, 1, "fi")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ﬁ") == 1
