@@ -203,6 +203,7 @@ def verify(pairs: DataFrame, docs: DataFrame, into: list[str] | None = None) ->
                 shared = np.bincount(pair[1:][both[1:] == both[:-1]], minlength=part.num_rows)
                 alike = shared / np.maximum(sizes[0] + sizes[1] - shared, 1) >= LEAST
                 yield part.select(["a", "b"]).filter(pa.array(alike))
+        words.give_back()
 
     both = pairs.join(owned.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b").join(owned.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
     return both.select("a", "b", "ea", "eb").mapInArrow(compare, "a binary, b binary")
