@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,9 +51,10 @@ _INDEXES: dict[tuple[str, str], tuple[int, I.Index]] = {}
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """key, hash, body, head, title of documents."""
+    """key, hash, tags (lang, source), body, head, title of documents."""
     text, source = F.col("text"), F.col("source")
-    return docs.select(F.col("doc_id").alias("key"), F.sha2(F.concat_ws("\n", "source", "text"), 256).alias("hash"), tokens(fold(text)).alias("body"), tokens(fold(F.split_part(text, F.lit("\n"), F.lit(1)))).alias("head"), tokens(fold(source)).alias("title"))
+    content = F.concat_ws("\n", "source", F.coalesce("lang", F.lit("")), "text")
+    return docs.select(F.col("doc_id").alias("key"), F.sha2(content, 256).alias("hash"), F.array("lang", "source").alias("tags"), tokens(fold(text)).alias("body"), tokens(fold(F.split_part(text, F.lit("\n"), F.lit(1)))).alias("head"), tokens(fold(source)).alias("title"))
 
 
 def stored_index(spark: SparkSession, sf: str) -> I.Index:
@@ -70,15 +72,15 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.explode(search_terms(F.col("text"))).alias("term"))
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """item_id, doc_id, score, matched of every document with a term of a benchmark passage, from the stored index."""
-    return I.everything(stored_index(spark, sf), _asked(spark, sf), "doc_id", "item_id")
+def searched(spark: SparkSession, sf: str, *wanted: I.Wanted) -> list[DataFrame]:
+    """item_id, doc_id, score, matched, rank of each of what is wanted of every benchmark passage."""
+    found = I.search(stored_index(spark, sf), _asked(spark, sf), "doc_id", "item_id", list(wanted))
+    return [found.filter(F.col("wanted") == i).drop("wanted") for i in range(len(wanted))]
 
 
 def hits(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    """item_id, doc_id, score, matched, rank, lang, source: the k best documents of each benchmark passage, from the stored index's blocks that may hold them."""
-    ranked = I.top(stored_index(spark, sf), _asked(spark, sf), "doc_id", "item_id", k)
-    return ranked.join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    """item_id, doc_id, score, matched, rank, lang, source: the k best documents of each benchmark passage."""
+    return searched(spark, sf, I.Wanted(k))[0].join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
 
 
 @query("R2_bm25_topk", _BASE + "SELECT item_id, doc_id, rank, score, matched FROM hits WHERE rank <= 10 AND matched >= 3")
@@ -120,8 +122,7 @@ def thin_languages(spark, sf):
 @query("R7_gate", _BASE + "SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN documents USING (doc_id) WHERE matched >= CASE WHEN lang = 'en' THEN 2 ELSE 4 END) WHERE rank <= 30")
 def gated(spark, sf):
     """A source or silence: documents with too few of the terms go before the best are taken."""
-    rows = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    return R.best(R.gate(rows, F.col("lang") == "en", 2, 4), "item_id", "doc_id", 30).select("item_id", "doc_id", "rank")
+    return searched(spark, sf, I.Wanted(30, lambda tags: np.where(tags[:, 0] == "en", 2, 4)))[0].select("item_id", "doc_id", "rank")
 
 
 @query(
@@ -194,11 +195,10 @@ def inject_and_warn(spark, sf):
 )
 def own_schedule(spark, sf):
     """A search without the documents of some sources, and before it the nearest document of one of them by a search of its own."""
-    rows = scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    kept = R.best(rows.filter(~F.col("source").isin("src8", "src9")), "item_id", "doc_id", 30).select("item_id", "doc_id", "rank")
-    near = F.max(F.struct("matched", "score", (-F.col("doc_id")).alias("d"))).alias("m")
-    own = rows.filter("source = 'src8'").groupBy("item_id").agg(near)
-    return kept.unionByName(own.select("item_id", (-F.col("m.d")).alias("doc_id"), F.lit(0).cast("long").alias("rank")))
+    other = lambda tags: np.where(np.isin(tags[:, 1], ["src8", "src9"]) | np.equal(tags[:, 1], None), I.NEVER, 1)
+    own = lambda tags: np.where(tags[:, 1] == "src8", 1, I.NEVER)
+    kept, near = searched(spark, sf, I.Wanted(30, other), I.Wanted(1, own, by_matched=True))
+    return kept.select("item_id", "doc_id", "rank").unionByName(near.select("item_id", "doc_id", F.lit(0).cast("long").alias("rank")))
 
 
 @query(
@@ -328,9 +328,9 @@ def topic_of_expanded(spark, sf):
 )
 def english_first(spark, sf):
     """A second search in English only: if it brings two documents or more, they come first and the others after them, as many as the longer list has."""
-    langs = table(spark, sf, "documents").select("doc_id", "lang")
-    good = hits(spark, sf, 6).filter("matched >= 3").select("item_id", "doc_id", "rank")
-    own = R.best(scored(spark, sf).filter("matched >= 3").join(langs.filter("lang = 'en'"), "doc_id", "left_semi"), "item_id", "doc_id", 6).select("item_id", "doc_id", "rank")
+    english = lambda tags: np.where(tags[:, 0] == "en", 3, I.NEVER)
+    good, own = (rows.select("item_id", "doc_id", "rank", "matched") for rows in searched(spark, sf, I.Wanted(6), I.Wanted(6, english)))
+    good, own = good.filter("matched >= 3").drop("matched"), own.drop("matched")
     own = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).filter("n >= 2")
     rest = good.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).join(own.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     both = own.withColumn("later", F.lit(0)).unionByName(rest.withColumn("later", F.lit(1)))
