@@ -362,6 +362,6 @@ def own_language_second(spark, sf):
 def probe_self_check(spark, sf):
     """Whether a probe's ten best documents include one that holds it."""
     probes = table(spark, sf, "benchmark")
-    found = hits(spark, sf, 10).select("item_id", "doc_id").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
+    found = searched(spark, sf, I.Wanted(10))[0].select("item_id", "doc_id").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
     held = probes.join(found, "item_id", "left").select("item_id", F.coalesce(F.expr("contains(body, text)"), F.lit(False)).alias("held"))
     return held.groupBy("item_id").agg(F.max("held").alias("found"))
