@@ -263,3 +263,58 @@ def test_sample_of_different_rows(spark, monkeypatch):
         rows = [(i, "the same text", "en")] * 2000 + [(1000 + k, f"another text {k}", "en") for k in range(200)]
         language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
     assert seen == [50] * 4
+
+
+def test_edited_passage_in_a_middle_holder_of_all_its_runs(spark):
+    """Every run that is left of a passage is in ten documents before its source and in ten between: each holder is compared, not the first and the last ones only."""
+    rows, wanted = [], set()
+    r = random.Random(31)
+    for g in range(4):
+        words = _text(7000 + g, 60 + 5 * g).split()
+        edited = [f"new{g}x{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+        base = 100 * g
+        for k in [*range(10), *range(30, 40)]:
+            pieces = [" ".join(words[i : i + 4]) + " " + _text(r.randrange(1 << 40), 6) for i in range(0, len(words), 5)]
+            r.shuffle(pieces)
+            rows.append((base + k, _text(r.randrange(1 << 40), 30) + " " + " ".join(pieces)))
+        rows.append((base + 20, _text(r.randrange(1 << 40), 40) + " " + " ".join(words) + " " + _text(r.randrange(1 << 40), 40)))
+        rows.append((base + 50, _text(r.randrange(1 << 40), 50) + " " + " ".join(edited) + " " + _text(r.randrange(1 << 40), 50)))
+        wanted.add((base + 50, base + 20))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert wanted <= {(p["doc_id"], p["source_id"]) for p in found if p["end"] - p["start"] >= 55}
+
+
+def test_places_of_a_crowded_key_are_compared_with_all_before():
+    """Against a loop over all pairs: the first of equal surroundings, a run at its first key, nothing else left out."""
+    import numpy as np
+
+    from strataforge.llm import edited_passages as E
+
+    rng = np.random.default_rng(8)
+    n = 700
+    key, doc, place = rng.integers(0, 4, n).astype(np.uint32), rng.integers(0, 300, n), np.arange(n, dtype=np.int32)
+    before, kind = rng.integers(0, 6, n).astype(np.uint32), rng.integers(0, 4, n).astype(np.uint8)
+    sets = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, 8, 30)).astype(np.uint64), axis=2)
+    of = rng.integers(0, 4, n)
+    theirs = sets[of] | (np.uint64(1) << rng.integers(0, 64, (n, 8)).astype(np.uint64))
+    around = (of * 1000 + rng.integers(0, 200, n)).astype(np.uint64)
+    theirs = theirs[np.unique(around, return_index=True)[1][np.unique(around, return_inverse=True)[1]]]
+    mine = sets[rng.integers(0, 4, n)]
+    asks = np.flatnonzero(kind & 1)
+    first = {}
+    for i in sorted(range(n), key=lambda i: (doc[i], i)):
+        first.setdefault((key[i], around[i]), i)
+    wanted = set()
+    for nth, a in enumerate(asks.tolist()):
+        for b in first.values():
+            missing = [int(np.bitwise_count(mine[asks[nth]][s] & ~theirs[b][s]).sum()) for s in (slice(4), slice(4, 8))]
+            if key[a] == key[b] and doc[b] < doc[a] and not (kind[a] & 2 and before[a] == before[b]) and min(missing) <= E.EDITED:
+                wanted.add((a, b))
+    assert len(wanted) > 1000
+    before_large = E.LARGE
+    try:
+        for E.LARGE in (before_large, 20):
+            got = [(int(x), int(y)) for a, b in E.compared(key, doc, place, kind, before, around, theirs, mine[asks]) for x, y in zip(a, b)]
+            assert len(got) == len(set(got)) and set(got) == wanted
+    finally:
+        E.LARGE = before_large
